@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from forumlens.sources.catalog import table
 
-from . import ranking, survivorship
+from . import langid, ranking, survivorship
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,18 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.relabelled_segments(
+        table(spark, sf_dir, "comment_language_detection_cld3_clean"), table(spark, sf_dir, "language_lookup")
+    )
+
+
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_segments(
+        table(spark, sf_dir, "comment_language_detection_cld3_clean"), table(spark, sf_dir, "language_lookup")
+    )
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = ranking.topic_ranking(table(spark, sf_dir, "df_tsne"))
     return ranked.select(F.date_format("pt", "yyyy-MM-dd").alias("pt"), "subreddit_id")
@@ -77,6 +89,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_records": p1_records,
+        "p3_found": p3_found,
+        "p3_segments": p3_segments,
         "p4_found": p4_found,
         "p4_ranks": p4_ranks,
     }
