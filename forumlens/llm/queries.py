@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from forumlens.sources.catalog import table
 
-from . import langid, ranking, survivorship
+from . import langid, mixture, neighbours, ranking, survivorship, vectors
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,16 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.cluster_rows(vectors.usable_vectors(table(spark, sf_dir, "embeddings_community")))
+
+
+def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "cluster_labels").where("primary_topic is not null and subreddit_id is not null")
+    topics = labels.groupBy(F.col("subreddit_id").alias("id")).agg(F.min(F.lower(F.trim("primary_topic"))).alias("topic"))
+    return mixture.describe_components(vectors.usable_vectors(table(spark, sf_dir, "embeddings_community")), topics)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.relabelled_segments(
         table(spark, sf_dir, "comment_language_detection_cld3_clean"), table(spark, sf_dir, "language_lookup")
@@ -49,6 +59,15 @@ def p4_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = neighbours.neighbour_pairs(vectors.usable_vectors(table(spark, sf_dir, "embeddings_community")))
+    return pairs.select("subreddit_id_a", "subreddit_id_b")
+
+
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbour_pairs(vectors.usable_vectors(table(spark, sf_dir, "embeddings_community")))
+
+
 _BARE = "regexp_replace(lower(trim({0})), '^t[0-9]_', '')"
 _USABLE = "{0} is not null and lower(trim({0})) not in ('', 'unprocessed', 'unknown', 'null', 'n/a', '[deleted]', '[removed]')"
 
@@ -89,10 +108,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_records": p1_records,
+        "p2_found": p2_found,
+        "p2_clusters": p2_clusters,
         "p3_found": p3_found,
         "p3_segments": p3_segments,
         "p4_found": p4_found,
         "p4_ranks": p4_ranks,
+        "p5_found": p5_found,
+        "p5_pairs": p5_pairs,
     }
 
 
