@@ -25,7 +25,7 @@ from forumlens.session import cut_lineage
 
 from .neighbours import spherical_means
 from .ranking import top_n_per_group
-from .vectors import bounded_sample, unpack
+from .vectors import bounded_sample, no_rows, unpack
 
 #: Rows of the sample that gives the start; features kept; EM steps over all rows; pull towards the pooled covariance.
 SAMPLE, FEATURES, STEPS, SHRINK = 16_384, 32, 3, 0.2
@@ -254,7 +254,7 @@ def _across(folded: DataFrame, threshold: float, dims: int, task_rows: int) -> D
             if len(a):
                 pairs_ = np.unique(np.stack([roots[a + lo], roots[n + b]]), axis=1, return_index=True)[1]
                 out.append(pd.DataFrame({"a": ids[a[pairs_] + lo], "b": ids[n + b[pairs_]], "sure": True}))
-        known = pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "sure": []})
+        known = pd.concat(out) if out else no_rows("a", "b", "sure")
         number = dict(zip(ids, roots))
         group = _roots(len(group), known["a"].map(number).to_numpy(int), known["b"].map(number).to_numpy(int))
         ra, rb = left["radius"].to_numpy(), right["radius"].to_numpy()
@@ -264,7 +264,7 @@ def _across(folded: DataFrame, threshold: float, dims: int, task_rows: int) -> D
             open_ = (angle <= room + ra[lo : lo + 256, None] + rb[None, :]) & (group[roots[lo : min(lo + 256, n)]][:, None] != group[roots[n:]][None, :])
             a, b = np.nonzero(open_)
             out.append(pd.DataFrame({"a": ids[a + lo], "b": ids[n + b], "sure": False}))
-        return pd.concat(out)[["a", "b", "sure"]] if out else pd.DataFrame({"a": [], "b": [], "sure": []})
+        return pd.concat(out)[["a", "b", "sure"]] if out else no_rows("a", "b", "sure")
 
     found = cut_lineage(pairs.groupBy("component", "i", "j").applyInPandas(compare, "a string, b string, sure boolean"))
     members = folded.select(F.col("a").alias("m"), "rows").dropDuplicates(["m", "rows"])

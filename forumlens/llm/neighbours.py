@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from forumlens.session import cut_lineage
 
 from .ranking import top_n_per_group
-from .vectors import bounded_sample, unpack
+from .vectors import bounded_sample, no_rows, unpack
 
 #: Vectors that the centroids are fitted on; rows of a block; queries that meet a block in one task.
 SAMPLE, BLOCK_ROWS, BLOCK_QUERIES = 16_384, 16_384, 32_768
@@ -192,6 +192,8 @@ def nearest(vectors: DataFrame, k: int = 5, queries: str = "is_seed", dims: int
             to = blocks[li][wide] + offset
             pairs = np.unique(np.stack([qi[wide], to]), axis=1)
             pairs = pairs[:, pairs[1] != b["block"].to_numpy()[pairs[0]]]
+            if not pairs.shape[1]:
+                continue
             yield pd.DataFrame({"block": pairs[1], "q": b["id"].to_numpy()[pairs[0]], "beat": target[pairs[0]], "qv": b["v"].to_numpy()[pairs[0]]})
 
     routed = asking.mapInPandas(route, "block int, q string, beat double, qv binary")
@@ -203,8 +205,10 @@ def nearest(vectors: DataFrame, k: int = 5, queries: str = "is_seed", dims: int
 
     def others(_key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"q": [], "id": [], "cosine": []})
+            return no_rows("q", "id", "cosine")
         qi, ri, s = scan(unpack(left["qv"], dims), left["beat"].to_numpy(), unpack(right["v"], dims), k)
+        if not len(qi):
+            return no_rows("q", "id", "cosine")
         return pd.DataFrame({"q": left["q"].to_numpy()[qi], "id": right["id"].to_numpy()[ri], "cosine": s})
 
     second_pass = routed.groupBy("block", "salt").cogroup(candidates.groupBy("block", "salt")).applyInPandas(others, _PAIR)

@@ -48,3 +48,8 @@ def bounded_sample(df: DataFrame, rows: int, total: int) -> pd.DataFrame:
     part = 1 << 30
     picked = df if total <= rows else df.where(F.pmod(F.xxhash64("id"), F.lit(part)) < F.lit(part * rows // total))
     return picked.toPandas().sort_values("id", ignore_index=True)
+
+
+def no_rows(*columns: str) -> pd.DataFrame:
+    """An empty frame that converts to any column type."""
+    return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
