@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from forumlens.sources.catalog import table
 
-from . import langid, mixture, neighbours, ranking, survivorship, vectors
+from . import langid, leakage, mixture, neighbours, ranking, survivorship, vectors
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,14 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbour_pairs(vectors.usable_vectors(table(spark, sf_dir, "embeddings_community")))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 _BARE = "regexp_replace(lower(trim({0})), '^t[0-9]_', '')"
 _USABLE = "{0} is not null and lower(trim({0})) not in ('', 'unprocessed', 'unknown', 'null', 'n/a', '[deleted]', '[removed]')"
 
@@ -116,6 +124,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_ranks": p4_ranks,
         "p5_found": p5_found,
         "p5_pairs": p5_pairs,
+        "p7_found": p7_found,
+        "p7_spans": p7_spans,
     }
 
 
