@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from forumlens.sources.catalog import table
 
-from . import langid, leakage, mixture, neighbours, ranking, survivorship, vectors
+from . import langid, leakage, mixture, neighbours, ranking, residue, survivorship, vectors
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,14 @@ def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.scored(table(spark, sf_dir, "documents")).where("is_residue").select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.scored(table(spark, sf_dir, "documents"))
+
+
 _BARE = "regexp_replace(lower(trim({0})), '^t[0-9]_', '')"
 _USABLE = "{0} is not null and lower(trim({0})) not in ('', 'unprocessed', 'unknown', 'null', 'n/a', '[deleted]', '[removed]')"
 
@@ -126,6 +134,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_pairs": p5_pairs,
         "p7_found": p7_found,
         "p7_spans": p7_spans,
+        "p8_found": p8_found,
+        "p8_scores": p8_scores,
     }
 
 
