@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from forumlens.sources.catalog import table
 
-from . import langid, leakage, mixture, neighbours, ranking, residue, survivorship, vectors
+from . import langid, leakage, mixture, neighbours, packing, ranking, residue, survivorship, vectors
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,18 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbour_pairs(vectors.usable_vectors(table(spark, sf_dir, "embeddings_community")))
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "token_budgets"))
+
+
+def p6_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of each kind, the tokens they hold and the part of their room that is unused."""
+    used = p6_containers(spark, sf_dir).groupBy("container_kind", "capacity_tokens", "container_id").agg(F.sum("piece_tokens").alias("used"))
+    return used.groupBy("container_kind").agg(
+        F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), (1 - F.sum("used") / F.sum("capacity_tokens")).alias("unused")
+    )
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -132,6 +144,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_ranks": p4_ranks,
         "p5_found": p5_found,
         "p5_pairs": p5_pairs,
+        "p6_containers": p6_containers,
+        "p6_unused": p6_unused,
         "p7_found": p7_found,
         "p7_spans": p7_spans,
         "p8_found": p8_found,
