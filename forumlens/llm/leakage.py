@@ -189,7 +189,7 @@ def plausible(items: Items, text: np.ndarray, i: np.ndarray, j: np.ndarray) -> n
 
 
 def _reach(a: np.ndarray, b: np.ndarray, errors: int) -> list[int]:
-    """reach[e]: the most words of `a` that a prefix of `b` matches with at most e edits."""
+    """reach[e]: the most words of `a` that a prefix of `b` matches with at most e edits, the last of them verbatim."""
     far = {0: 0}
     out: list[int] = []
     for e in range(errors + 1):
@@ -200,14 +200,17 @@ def _reach(a: np.ndarray, b: np.ndarray, errors: int) -> list[int]:
                     if nx <= len(a) and nx + nd <= len(b) and nx > new.get(nd, -1):
                         new[nd] = nx
             far = new
+        most = out[-1] if out else 0
         for d, x in far.items():
+            start = x
             while x < len(a) and x + d < len(b) and a[x] == b[x + d]:
                 x += 1
             far[d] = x
+            if x > start:
+                most = max(most, x)
+        out.append(most)
         if not far:
-            out.append(out[-1])
             break
-        out.append(max(far.values()))
     return out + [out[-1]] * (errors + 1 - len(out))
 
 

@@ -80,13 +80,14 @@ def brute(own, doc):
     """Is there a run of the item that aligns with the document within the errors? By full edit distances."""
     n, want = len(own), leakage.needed(len(own))
     for a in range(n):
-        row = list(range(len(doc) + 1)) if False else [0] * (len(doc) + 1)
-        for length, word in enumerate(own[a:], start=1):
+        row = [99] + [0 if d == own[a] else 99 for d in doc]  # the first and the last word are verbatim
+        for length, word in enumerate(own[a + 1 :], start=2):
+            verbatim = [row[j - 1] if word == d else 99 for j, d in enumerate(doc, start=1)]
             new = [row[0] + 1]
             for j, d in enumerate(doc, start=1):
                 new.append(min(row[j - 1] + (word != d), row[j] + 1, new[j - 1] + 1))
             row = new
-            if length >= want and leakage.WORDS_PER_ERROR * min(row) <= length:
+            if length >= want and leakage.WORDS_PER_ERROR * min(verbatim) <= length:
                 return True
     return False
 
