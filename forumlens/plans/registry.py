@@ -17,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("scans", "predicates", "joins")
+MODULES = ("scans", "predicates", "joins", "aggregates", "ordering")
 
 
 class Tables:
