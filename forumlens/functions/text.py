@@ -169,12 +169,16 @@ def normalised_words(c: Column, ascii_only: bool = False) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(c), pattern, " "), " "), lambda s: s != "")
 
 
+def _gram_at(words: Column, n: int):
+    return lambda i: F.array_join(F.slice(words, i, n), " ")
+
+
 def ngrams(words: Column, least: int = 1, most: int = 3) -> Column:
     """All n-grams of `least`..`most` words, joined by a space."""
     out = []
     for n in range(least, most + 1):
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        out.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
+        out.append(F.transform(starts, _gram_at(words, n)))
     return F.concat(*out)
 
 

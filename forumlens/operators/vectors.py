@@ -36,11 +36,15 @@ def mean_vector(df: DataFrame, keys: Sequence[str], vector: str, weight: Column
     return out.withColumnRenamed("__count", count) if count else out.drop("__count")
 
 
+def _times(w: float):
+    return lambda x: x.cast("double") * w
+
+
 def mix(parts: Sequence[tuple[Column, float]]) -> Column:
     """The weighted mean of several vectors of a row over those that are present; null if none is."""
     total, weights = None, None
     for vector, w in parts:
-        scaled = F.when(vector.isNotNull(), F.transform(vector, lambda x, w=w: x.cast("double") * w))
+        scaled = F.when(vector.isNotNull(), F.transform(vector, _times(w)))
         share = F.when(vector.isNotNull(), F.lit(float(w))).otherwise(F.lit(0.0))
         total = scaled if total is None else F.when(total.isNull(), scaled).when(scaled.isNull(), total).otherwise(F.zip_with(total, scaled, lambda a, b: a + b))
         weights = share if weights is None else weights + share
