@@ -169,16 +169,18 @@ def normalised_words(c: Column, ascii_only: bool = False) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(c), pattern, " "), " "), lambda s: s != "")
 
 
-def _gram_at(words: Column, n: int):
-    return lambda i: F.array_join(F.slice(words, i, n), " ")
-
-
 def ngrams(words: Column, least: int = 1, most: int = 3) -> Column:
-    """All n-grams of `least`..`most` words, joined by a space."""
-    out = []
-    for n in range(least, most + 1):
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        out.append(F.transform(starts, _gram_at(words, n)))
+    """All n-grams of `least`..`most` words, joined by a space.
+
+    An n-gram is the shorter one before it and the next word, zipped: `words` is evaluated a few times per row, never
+    once per n-gram.
+    """
+    size, grams, out = F.size(words), words, [words] if least <= 1 else []
+    for n in range(2, most + 1):
+        left = F.slice(grams, F.lit(1), F.greatest(size - (n - 1), F.lit(0)))
+        grams = F.zip_with(left, F.slice(words, F.lit(n), F.greatest(size, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+        if n >= least:
+            out.append(grams)
     return F.concat(*out)
 
 
