@@ -17,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("scans", "predicates", "joins", "aggregates", "ordering", "scalars", "texts", "nested", "vector_queries", "geo", "content", "languages", "keywords", "clusters")
+MODULES = ("scans", "predicates", "joins", "aggregates", "ordering", "scalars", "texts", "nested", "vector_queries", "geo", "content", "languages", "keywords", "clusters", "labels", "recommendations", "targeting", "streams")
 
 
 class Tables:
