@@ -39,7 +39,7 @@ def seed_recommendations(members: DataFrame) -> DataFrame:
 
 def labelled(t: Tables) -> DataFrame:
     """One row per community of the cluster table, with its nested paths."""
-    one = R.dedupe_latest(t.cluster_labels.where("subreddit_id is not null and k_0023_label is not null"), ["subreddit_id"], [F.asc("model_sort_order"), F.asc_nulls_last("k_0097_label")])
+    one = R.dedupe_latest(t.cluster_labels.where("subreddit_id is not null and k_0023_label is not null"), ["subreddit_id"], [F.asc("model_sort_order"), *(F.asc_nulls_last(c) for c in ("k_0097_label", "primary_topic", "cluster_majority_primary_topic", "subreddit_name", "posts_for_modeling_count"))])
     return one.withColumns({"path1": C.nested_label(["k_0023_label"]), "path2": F.when(F.col("k_0097_label").isNotNull(), C.nested_label(["k_0023_label", "k_0097_label"]))})
 
 
@@ -51,7 +51,7 @@ def members_of(t: Tables) -> DataFrame:
 
 _LAB = (
     "(select *, lpad(k_0023_label::int::varchar, 4, '0') as path1, case when k_0097_label is not null then lpad(k_0023_label::int::varchar, 4, '0') || '-' || lpad(k_0097_label::int::varchar, 4, '0') end as path2 from cluster_labels"
-    " where subreddit_id is not null and k_0023_label is not null qualify row_number() over (partition by subreddit_id order by model_sort_order nulls first, k_0097_label nulls last) = 1)"
+    " where subreddit_id is not null and k_0023_label is not null qualify row_number() over (partition by subreddit_id order by model_sort_order nulls first, k_0097_label nulls last, primary_topic nulls last, cluster_majority_primary_topic nulls last, subreddit_name nulls last, posts_for_modeling_count nulls last) = 1)"
 )
 _MEM = f"(select path1 as cluster, subreddit_id as id, subreddit_id in (select subreddit_id from embeddings_community where is_seed and subreddit_id is not null) as is_seed, posts_for_modeling_count >= 5 as can_recommend from {_LAB})"
 
@@ -109,14 +109,14 @@ def q25b(t: Tables):
 
 @query(
     "Q42_distance_check_table",
-    f"with p as (select s.subreddit_id as a, u.x.subreddit_id as b, max(u.x.cosine_similarity) as c from similar_communities s, lateral (select unnest(s.similar_subreddit) as x) u where u.x.subreddit_id is not null group by 1, 2), l as {_LAB} select p.a, p.b, round(p.c, 5) as c, la.path1 = lb.path1 as same_cluster from p join l la on la.subreddit_id = p.a join l lb on lb.subreddit_id = p.b qualify row_number() over (partition by p.a order by p.c desc nulls last, p.b) <= 3",
+    f"with p as (select s.subreddit_id as a, u.x.subreddit_id as b, max(u.x.cosine_similarity) as c from similar_communities s, lateral (select unnest(s.similar_subreddit) as x) u where u.x.subreddit_id is not null group by 1, 2), l as {_LAB} select p.a, p.b, round(p.c, 5) + 0 as c, la.path1 = lb.path1 as same_cluster from p join l la on la.subreddit_id = p.a join l lb on lb.subreddit_id = p.b qualify row_number() over (partition by p.a order by p.c desc nulls last, p.b) <= 3",
 )
 def q42(t: Tables):
     pairs = t.similar_communities.select(F.col("subreddit_id").alias("a"), F.explode("similar_subreddit").alias("x")).where("x.subreddit_id is not null")
     best = pairs.groupBy("a", F.col("x.subreddit_id").alias("b")).agg(F.max("x.cosine_similarity").alias("c"))
     paths = labelled(t).select("subreddit_id", "path1")
     both = best.join(paths.toDF("a", "pa"), "a").join(paths.toDF("b", "pb"), "b").withColumn("same_cluster", F.col("pa") == F.col("pb"))
-    return R.top_n(both, ["a"], [F.desc_nulls_last("c"), F.asc("b")], 3).select("a", "b", F.round("c", 5).alias("c"), "same_cluster")
+    return R.top_n(both, ["a"], [F.desc_nulls_last("c"), F.asc("b")], 3).select("a", "b", (F.round("c", 5) + F.lit(0.0)).alias("c"), "same_cluster")
 
 
 @query("Q43_flagged_clusters", f"select subreddit_id, coalesce(path1 = '0003' or path2 like '0007-00%', false) as flagged from {_LAB}")

@@ -166,8 +166,8 @@ def k10(t: Tables):
 def k11(t: Tables):
     path = store.scratch(t.spark, "k11")
     store.write_ndjson(t.embeddings.select("vec_id", "embedding"), path, {"model_version": "v1"})
-    back = t.spark.read.schema("model_version string, vec_id bigint, embedding array<double>").json(path)
-    return back.select("model_version", "vec_id", F.round(F.col("embedding")[0], 5).alias("first"), F.size("embedding").alias("dims"))
+    back = t.spark.read.schema("model_version string, vec_id bigint, embedding array<float>").json(path)
+    return back.select("model_version", "vec_id", F.round(F.col("embedding")[0].cast("double"), 5).alias("first"), F.size("embedding").alias("dims"))
 
 
 @query(

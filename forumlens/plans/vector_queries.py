@@ -19,17 +19,17 @@ def positions(df, *keys, vector="vector", digits=5):
     return df.select(*keys, F.posexplode(vector).alias("pos", "v")).withColumn("v", F.round("v", digits) + F.lit(0.0))  # no negative zero
 
 
-@query("V1_weighted_mean", f"select label, pos, round(sum(ln(3 + vec_id) * x) / sum(ln(3 + vec_id)), 5) as v from {_CELLS} group by 1, 2")
+@query("V1_weighted_mean", f"select label, pos, round(sum(ln(3 + vec_id) * x) / sum(ln(3 + vec_id)), 5) + 0 as v from {_CELLS} group by 1, 2")
 def v1(t: Tables):
     return positions(V.mean_vector(t.embeddings, ["label"], "embedding", F.log(3 + F.col("vec_id"))), "label")
 
 
-@query("V1b_length_weighted_mean", f"select label, pos, round(sum(ln(2 + vec_id % 50) * x) / sum(ln(2 + vec_id % 50)), 5) as v from {_CELLS} group by 1, 2")
+@query("V1b_length_weighted_mean", f"select label, pos, round(sum(ln(2 + vec_id % 50) * x) / sum(ln(2 + vec_id % 50)), 5) + 0 as v from {_CELLS} group by 1, 2")
 def v1b(t: Tables):
     return positions(V.mean_vector(t.embeddings, ["label"], "embedding", F.log(2 + F.col("vec_id") % 50)), "label")
 
 
-@query("V2_mean", f"select label, pos, round(avg(x), 5) as v from {_CELLS} group by 1, 2")
+@query("V2_mean", f"select label, pos, round(avg(x), 5) + 0 as v from {_CELLS} group by 1, 2")
 def v2(t: Tables):
     return positions(V.mean_vector(t.embeddings, ["label"], "embedding"), "label")
 
@@ -47,7 +47,7 @@ _COM = f"(select label, pos, avg(x) as x from {_CELLS} group by 1, 2)"
 _B = f"(select d.doc, d.label, d.pos, case when r.x is null then d.x else (70 * d.x + 20 * r.x) / 90 end as x from {_DOC} d left join {_REP} r on r.doc = d.doc and r.pos = d.pos)"
 
 
-@query("V3_mix_with_replies", f"select doc, pos, round(x, 5) as v from {_B}")
+@query("V3_mix_with_replies", f"select doc, pos, round(x, 5) + 0 as v from {_B}")
 def v3(t: Tables):
     mixed = documents_and_replies(t).withColumn("vector", V.mix([(F.col("d"), 70), (F.col("r"), 20)]))
     return positions(mixed, "doc")
@@ -59,12 +59,12 @@ def with_community(t: Tables, weights):
     return b.join(community, "label", "left").withColumn("vector", V.mix([(F.col("b"), weights[0]), (F.col("c"), weights[1])]))
 
 
-@query("V4_mix_with_community", f"select doc, b.pos, round((90 * b.x + 10 * c.x) / 100, 5) as v from {_B} b join {_COM} c on c.label = b.label and c.pos = b.pos")
+@query("V4_mix_with_community", f"select doc, b.pos, round((90 * b.x + 10 * c.x) / 100, 5) + 0 as v from {_B} b join {_COM} c on c.label = b.label and c.pos = b.pos")
 def v4(t: Tables):
     return positions(with_community(t, (90, 10)), "doc")
 
 
-@query("V4b_latest_mix", f"select doc, b.pos, round((0.85::double * b.x + 0.15::double * c.x) / 1.0, 5) as v from {_B} b join {_COM} c on c.label = b.label and c.pos = b.pos")
+@query("V4b_latest_mix", f"select doc, b.pos, round((0.85::double * b.x + 0.15::double * c.x) / 1.0, 5) + 0 as v from {_B} b join {_COM} c on c.label = b.label and c.pos = b.pos")
 def v4b(t: Tables):
     return positions(with_community(t, (0.85, 0.15)), "doc")
 
@@ -72,7 +72,7 @@ def v4b(t: Tables):
 @query(
     "V4c_community_rollup",
     f"with n as (select label, count(*) as n from embeddings where vec_id % 7 = 0 group by 1), d as (select label, pos, sum(x) as s, count(*) as k from {_CELLS} where vec_id % 7 = 0 group by 1, 2), c as {_COM}"
-    " select c.label, c.pos, coalesce(n.n, 0)::bigint as documents, round(case when coalesce(n.n, 0) >= 3 then d.s / d.k when n.n >= 1 then (d.s + c.x) / (d.k + 1) else c.x end, 5) as v from c left join n on n.label = c.label left join d on d.label = c.label and d.pos = c.pos",
+    " select c.label, c.pos, coalesce(n.n, 0)::bigint as documents, round(case when coalesce(n.n, 0) >= 3 then d.s / d.k when n.n >= 1 then (d.s + c.x) / (d.k + 1) else c.x end, 5) + 0 as v from c left join n on n.label = c.label left join d on d.label = c.label and d.pos = c.pos",
 )
 def v4c(t: Tables):
     from .content import community_rollup
@@ -82,7 +82,7 @@ def v4c(t: Tables):
     return rolled.select("label", "documents", F.posexplode("vector").alias("pos", "v")).withColumn("v", F.round("v", 5))
 
 
-@query("V4d_plain_rollups", f"select label, 'documents' as kind, pos, round(avg(x), 5) as v from {_CELLS} where vec_id % 10 = 0 group by 1, 3 union all select label, 'with replies', pos, round(avg(x), 5) from {_CELLS} where vec_id % 10 in (0, 1, 3) group by 1, 3")
+@query("V4d_plain_rollups", f"select label, 'documents' as kind, pos, round(avg(x), 5) + 0 as v from {_CELLS} where vec_id % 10 = 0 group by 1, 3 union all select label, 'with replies', pos, round(avg(x), 5) + 0 from {_CELLS} where vec_id % 10 in (0, 1, 3) group by 1, 3")
 def v4d(t: Tables):
     a = V.mean_vector(t.embeddings.where("vec_id % 10 = 0"), ["label"], "embedding").withColumn("kind", F.lit("documents"))
     b = V.mean_vector(t.embeddings.where("vec_id % 10 in (0, 1, 3)"), ["label"], "embedding").withColumn("kind", F.lit("with replies"))
@@ -126,7 +126,7 @@ def v8(t: Tables):
     return t.embeddings_community.where("posts_for_embeddings_count >= 3 or is_seed").select("subreddit_id", F.col("pt").cast("string").alias("pt"))
 
 
-@query("V9_l2_normalise", "select vec_id, pos, round(x / sqrt(sum(x * x) over (partition by vec_id)), 5) as v from (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1)::int - 1 as pos from embeddings where vec_id < 50)")
+@query("V9_l2_normalise", "select vec_id, pos, round(x / sqrt(sum(x * x) over (partition by vec_id)), 5) + 0 as v from (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1)::int - 1 as pos from embeddings where vec_id < 50)")
 def v9(t: Tables):
     return positions(t.embeddings.where("vec_id < 50").withColumn("vector", V.l2_normalise(F.col("embedding"))), "vec_id")
 
@@ -214,10 +214,10 @@ def v18(t: Tables):
     return one.select("n", *(F.round(c, 5).alias(c) for c in ("homogeneity", "completeness", "v_measure", "adjusted_rand")))
 
 
-@query("V19_projection_with_metadata", "select distinct t.subreddit_id, t.pt::varchar as pt, round(t.tsne1, 3) as x, round(t.tsne2, 3) as y, c.topic from df_tsne t left join (select subreddit_id, min(primary_topic) as topic from cluster_labels group by 1) c on c.subreddit_id = t.subreddit_id")
+@query("V19_projection_with_metadata", "select distinct t.subreddit_id, t.pt::varchar as pt, t.tsne1 as x, t.tsne2 as y, c.topic from df_tsne t left join (select subreddit_id, min(primary_topic) as topic from cluster_labels group by 1) c on c.subreddit_id = t.subreddit_id")
 def v19(t: Tables):
     topics = t.cluster_labels.groupBy("subreddit_id").agg(F.min("primary_topic").alias("topic"))
-    rows = t.df_tsne.select("subreddit_id", F.col("pt").cast("string").alias("pt"), F.round("tsne1", 3).alias("x"), F.round("tsne2", 3).alias("y"))
+    rows = t.df_tsne.select("subreddit_id", F.col("pt").cast("string").alias("pt"), F.col("tsne1").alias("x"), F.col("tsne2").alias("y"))
     return rows.join(topics, "subreddit_id", "left").distinct()
 
 
