@@ -30,7 +30,7 @@ from .vectors import bounded_sample, no_rows, unpack
 #: Rows of the sample that gives the start; features kept; EM steps over all rows; pull towards the pooled covariance.
 SAMPLE, FEATURES, STEPS, SHRINK = 16_384, 32, 3, 0.2
 #: Components a row is looked up in; rows that one task compares with each other; radius (cosine) of a fold.
-PROBES, TASK_ROWS, FOLD = 3, 4096, 0.9
+PROBES, TASK_ROWS, FOLD = 6, 8192, 0.9
 _DIAGONAL_FLOOR = 1e-3
 
 
@@ -168,12 +168,28 @@ def _links(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray,
 
 
 def _local_components(x: np.ndarray, threshold: float) -> np.ndarray:
-    """Components among the rows of one task; each block's links are folded at once, so memory does not follow pairs."""
-    root = np.arange(len(x))
-    for lo in range(0, len(x), 256):
+    """Components among the rows of one task, by blocks of 256 rows.
+
+    Where a block has few links they are folded as pairs. Where it has many (a hot cluster), every row takes the least
+    root among its partners and hands it to them, until nothing changes: no list of pairs is made.
+    """
+    n, root = len(x), np.arange(len(x), dtype=np.int32)
+    for lo in range(0, n, 256):
         near = x[lo : lo + 256] @ x.T >= threshold
-        i, j = np.nonzero(near)
-        root = _roots(len(x), np.concatenate([i + lo, np.arange(len(x))]), np.concatenate([j, root]))
+        if near.sum() < 32 * len(near):
+            i, j = np.nonzero(near)
+            root = _roots(n, np.concatenate([i + lo, np.arange(n)]), np.concatenate([j, root])).astype(np.int32)
+            continue
+        while True:
+            least = np.where(near, root[None, :], n).min(1)
+            low = np.minimum(root, np.where(near, least[:, None], n).min(0)).astype(np.int32)
+            if (low == root).all():
+                break
+            new = low.copy()
+            np.minimum.at(new, root, low)
+            while (new[new] != new).any():
+                new = new[new]
+            root = new
     return root
 
 
