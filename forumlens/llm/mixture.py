@@ -7,8 +7,7 @@ start comes from a bounded sample; every EM step runs over all rows and sends on
 
 For clusters by a similarity threshold, an exact check follows: rows go to their `PROBES` most responsible components,
 and inside each component links at or above the threshold are found by blocks. A component too large for one task is
-split; each part is folded to a few covering members first, so that a hot cluster is not compared with itself pair by
-pair.
+split, and its largest cluster is found first, so that a hot cluster is not compared with itself pair by pair.
 """
 
 from __future__ import annotations
@@ -29,8 +28,8 @@ from .vectors import bounded_sample, no_rows, unpack
 
 #: Rows of the sample that gives the start; features kept; EM steps over all rows; pull towards the pooled covariance.
 SAMPLE, FEATURES, STEPS, SHRINK = 16_384, 32, 3, 0.2
-#: Components a row is looked up in; rows that one task compares with each other; radius (cosine) of a fold.
-PROBES, TASK_ROWS, FOLD = 6, 8192, 0.9
+#: Components a row is looked up in; rows that one task compares with each other.
+PROBES, TASK_ROWS = 6, 8192
 _DIAGONAL_FLOOR = 1e-3
 
 
@@ -161,38 +160,44 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _links(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs at or above the threshold, computed by blocks of rows."""
-    parts = [(lo, np.nonzero(x[lo : lo + 512] @ y.T >= threshold)) for lo in range(0, len(x), 512)]
-    return np.concatenate([i + lo for lo, (i, _) in parts] or [[]]).astype(int), np.concatenate([j for _, (_, j) in parts] or [[]]).astype(int)
+def _joined(root: np.ndarray, near: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """`root` after linking rows[i] with columns[j] wherever near[i, j].
 
+    Few links are folded as pairs. Where there are many (a hot cluster), every row takes the least root among its
+    partners and itself and hands it to them, until nothing changes: no list of pairs is made.
+    """
+    n = len(root)
+    if near.sum() < 32 * len(near):
+        i, j = np.nonzero(near)
+        return _roots(n, np.concatenate([rows[i], np.arange(n)]), np.concatenate([columns[j], root])).astype(np.int32)
+    while True:
+        own = np.where(near.any(1), root[rows], n)
+        least = np.minimum(np.where(near, root[columns][None, :], n).min(1), own)
+        low = root.copy()
+        np.minimum.at(low, columns, np.where(near, least[:, None], n).min(0).astype(np.int32))
+        np.minimum.at(low, rows, least.astype(np.int32))
+        if (low == root).all():
+            return root
+        new = low.copy()
+        np.minimum.at(new, root, low)
+        while (new[new] != new).any():
+            new = new[new]
+        root = new
 
-def _local_components(x: np.ndarray, threshold: float) -> np.ndarray:
-    """Components among the rows of one task, by blocks of 256 rows.
 
-    Where a block has few links they are folded as pairs. Where it has many (a hot cluster), every row takes the least
-    root among its partners and hands it to them, until nothing changes: no list of pairs is made.
-    """
-    n, root = len(x), np.arange(len(x), dtype=np.int32)
-    for lo in range(0, n, 256):
-        near = x[lo : lo + 256] @ x.T >= threshold
-        if near.sum() < 32 * len(near):
-            i, j = np.nonzero(near)
-            root = _roots(n, np.concatenate([i + lo, np.arange(n)]), np.concatenate([j, root])).astype(np.int32)
-            continue
-        while True:
-            least = np.where(near, root[None, :], n).min(1)
-            low = np.minimum(root, np.where(near, least[:, None], n).min(0)).astype(np.int32)
-            if (low == root).all():
-                break
-            new = low.copy()
-            np.minimum.at(new, root, low)
-            while (new[new] != new).any():
-                new = new[new]
-            root = new
+def _local_components(x: np.ndarray, threshold: float) -> np.ndarray:
+    """Components among the rows of one task, by blocks of 256 rows."""
+    every, root = np.arange(len(x)), np.arange(len(x), dtype=np.int32)
+    for lo in range(0, len(x), 256):
+        root = _joined(root, x[lo : lo + 256] @ x.T >= threshold, every[lo : lo + 256], every)
     return root
 
 
+def _links_to_root(ids: np.ndarray, root: np.ndarray) -> pd.DataFrame:
+    moved = np.nonzero(root != np.arange(len(root)))[0]
+    return pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
+
+
 def threshold_clusters(vectors: DataFrame, threshold: float = 0.70, dims: int = 128, task_rows: int = TASK_ROWS, model: Mixture | None = None) -> DataFrame:
     """`node`, `root`: every vector that has a partner at or above `threshold`, with its cluster's smallest id.
 
@@ -207,93 +212,70 @@ def threshold_clusters(vectors: DataFrame, threshold: float = 0.70, dims: int =
     model = model or fit_mixture(vectors, total, dims)
     placed = cut_lineage(memberships(vectors, model, PROBES, dims).select("id", "v", "component"))
     sizes = {r["component"]: r["n"] for r in placed.groupBy("component").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = vectors.sparkSession.createDataFrame([(int(c), -(-n // task_rows)) for c, n in sizes.items()], "component int, parts int")
+    large = {c: -(-n // task_rows) for c, n in sizes.items() if n > task_rows}
+    parts = vectors.sparkSession.createDataFrame([(int(c), large.get(c, 1)) for c in sizes], "component int, parts int")
     split = placed.join(F.broadcast(parts), "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
-    def local(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        """Links to the smallest id of each local cluster; of split components also the folded members, as bytes."""
+    def local(_key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("id", ignore_index=True)
-        x, ids = unpack(b["v"], dims), b["id"].to_numpy()
-        root = _local_components(x, threshold)
-        out = [pd.DataFrame({"a": ids[root != np.arange(len(x))], "b": ids[root[root != np.arange(len(x))]]})]
-        if b["parts"].iloc[0] > 1:
-            out.append(_fold(x, ids, root).assign(component=int(key[0])))
-        return pd.concat(out).reindex(columns=["a", "b", "component", "rep", "rows", "radius"])
-
-    edge = "a string, b string, component int, rep binary, rows binary, radius double"
-    found = cut_lineage(split.groupBy("component", "part").applyInPandas(local, edge))
-    links = found.where("rep is null").select("a", "b")
-    if any(n > task_rows for n in sizes.values()):
-        links = links.unionByName(_across(found.where("rep is not null"), threshold, dims, task_rows))
+        ids = b["id"].to_numpy()
+        return _links_to_root(ids, _local_components(unpack(b["v"], dims), threshold))
+
+    links = split.where("parts = 1").groupBy("component", "part").applyInPandas(local, "a string, b string")
+    if large:
+        links = links.unionByName(_large_components(split.where("parts > 1"), threshold, dims, task_rows))
     return connected_components(links)
 
 
-def _fold(x: np.ndarray, ids: np.ndarray, root: np.ndarray) -> pd.DataFrame:
-    """Covers every local cluster by members within `FOLD` of all they stand for: rep, its followers' rows, its radius."""
-    rows = []
-    for r in np.unique(root):
-        left = np.nonzero(root == r)[0]
-        while len(left):
-            s = x[left] @ x[left[0]]
-            near = (s >= FOLD) | (np.arange(len(left)) == 0)
-            own = left[near]
-            radius = float(np.arccos(np.clip(s[near].min(), -1, 1))) if len(own) > 1 else 0.0
-            rows.append((ids[own[0]], ids[r], x[own[0]].tobytes(), x[own].tobytes(), radius))
-            left = left[~near]
-    return pd.DataFrame(rows, columns=["a", "b", "rep", "rows", "radius"])
+def _large_components(split: DataFrame, threshold: float, dims: int, task_rows: int) -> DataFrame:
+    """Links inside components that are larger than a task, without comparing a hot cluster with itself.
 
+    Every part finds its local clusters. The first members of those that hold a twentieth of their part are compared
+    over all parts of a component; the largest cluster that results is the component's hot one, and its rows need no
+    comparison with each other any more. All other rows are compared with all rows, block by block.
+    """
 
-def _across(folded: DataFrame, threshold: float, dims: int, task_rows: int) -> DataFrame:
-    """Links between the parts of split components.
+    def local(_key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("id", ignore_index=True)
+        root = _local_components(unpack(b["v"], dims), threshold)
+        size = np.bincount(root, minlength=len(b))
+        first = root == np.arange(len(b))
+        return pd.DataFrame({"component": b["component"], "part": b["part"], "id": b["id"], "v": b["v"], "root": b["id"].to_numpy()[root], "size": np.where(first, size, 0), "is_large": first & (size * 20 >= len(b))})
 
-    Representatives are compared with each other: a link at the threshold is a link. Where only their radii leave room
-    for one, the members behind them are compared, unless the two are connected already.
-    """
-    sizes = {r["component"]: r["n"] for r in folded.groupBy("component").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = [(int(c), i, j) for c, n in sizes.items() for k in [-(-n // task_rows)] for i in range(k) for j in range(i, k)]
-    layout = folded.sparkSession.createDataFrame([(c, i, j, -(-sizes[c] // task_rows)) for c, i, j in blocks], "component int, i int, j int, k int")
-    side = folded.select("component", "a", "b", "rep", "radius")
-    mine = F.pmod(F.xxhash64("a"), F.col("k"))
-    pairs = side.join(F.broadcast(layout), "component").where((mine == F.col("i")) | (mine == F.col("j"))).withColumn("mine", mine.cast("int"))
-
-    def compare(_key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(p["i"].iloc[0]), int(p["j"].iloc[0])
-        left, right = (p[p["mine"] == k].sort_values("a", ignore_index=True) for k in (i, j))
-        x, y = unpack(left["rep"], dims), unpack(right["rep"], dims)
-        out, n = [], len(left)
-        ids = np.concatenate([left["a"], right["a"]])
-        roots = pd.factorize(np.concatenate([left["b"], right["b"]]))[0]
-        group = np.zeros(roots.max() + 1, int)
-        for lo in range(0, n, 256):
-            s = x[lo : lo + 256] @ y.T
-            a, b = np.nonzero(s >= threshold)
-            if len(a):
-                pairs_ = np.unique(np.stack([roots[a + lo], roots[n + b]]), axis=1, return_index=True)[1]
-                out.append(pd.DataFrame({"a": ids[a[pairs_] + lo], "b": ids[n + b[pairs_]], "sure": True}))
-        known = pd.concat(out) if out else no_rows("a", "b", "sure")
-        number = dict(zip(ids, roots))
-        group = _roots(len(group), known["a"].map(number).to_numpy(int), known["b"].map(number).to_numpy(int))
-        ra, rb = left["radius"].to_numpy(), right["radius"].to_numpy()
-        room = np.arccos(threshold)
-        for lo in range(0, n, 256):
-            angle = np.arccos(np.clip(x[lo : lo + 256] @ y.T, -1, 1))
-            open_ = (angle <= room + ra[lo : lo + 256, None] + rb[None, :]) & (group[roots[lo : min(lo + 256, n)]][:, None] != group[roots[n:]][None, :])
-            a, b = np.nonzero(open_)
-            out.append(pd.DataFrame({"a": ids[a + lo], "b": ids[n + b], "sure": False}))
-        return pd.concat(out)[["a", "b", "sure"]] if out else no_rows("a", "b", "sure")
-
-    found = cut_lineage(pairs.groupBy("component", "i", "j").applyInPandas(compare, "a string, b string, sure boolean"))
-    members = folded.select(F.col("a").alias("m"), "rows").dropDuplicates(["m", "rows"])
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            hit = [len(_links(np.frombuffer(p, np.float32).reshape(-1, dims), np.frombuffer(q, np.float32).reshape(-1, dims), threshold)[0]) > 0 for p, q in zip(b["ra"], b["rb"])]
-            yield b.loc[hit, ["a", "b"]]
+    schema = "component int, part int, id string, v binary, root string, size long, is_large boolean"
+    rows = cut_lineage(split.groupBy("component", "part").applyInPandas(local, schema))
 
-    doubtful = found.where("not sure and a <> b").select("a", "b").distinct()
-    doubtful = doubtful.join(members.select(F.col("m").alias("a"), F.col("rows").alias("ra")), "a").join(members.select(F.col("m").alias("b"), F.col("rows").alias("rb")), "b")
-    links = found.where("sure and a <> b").select("a", "b").unionByName(doubtful.mapInPandas(check, "a string, b string"))
-    return links.unionByName(folded.where("a <> b").select("a", "b"))
+    def hot(_key: tuple, b: pd.DataFrame) -> pd.DataFrame:  # at most twenty rows of each part
+        b = b.sort_values("id", ignore_index=True)
+        root = _local_components(unpack(b["v"], dims), threshold)
+        weight = np.bincount(root, weights=b["size"], minlength=len(b))
+        return pd.DataFrame({"component": b["component"], "part": b["part"], "root": b["id"], "merged": b["id"].to_numpy()[root], "is_hot": root == weight.argmax()})
+
+    merged = cut_lineage(rows.where("is_large").groupBy("component").applyInPandas(hot, "component int, part int, root string, merged string, is_hot boolean"))
+    flagged = rows.join(merged.where("is_hot").select("component", "part", "root", "is_hot"), ["component", "part", "root"], "left")
+    flagged = cut_lineage(flagged.select("component", "part", "id", "v", F.coalesce("is_hot", F.lit(False)).alias("is_hot")))
+    counts = flagged.groupBy("component").agg(F.count(F.when(~F.col("is_hot"), 1)).alias("others"), (F.max("part") + 1).alias("parts")).collect()
+    table = split.sparkSession.createDataFrame([(int(r["component"]), max(1, -(-r["others"] // task_rows)), int(r["parts"])) for r in counts], "component int, chunks int, parts int")
+    sized = flagged.join(F.broadcast(table), "component")
+    everyone = sized.select("component", "part", "id", "v", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    spread = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("in_part")
+    others = sized.where("not is_hot").select(
+        F.col("component").alias("in_component"), spread, F.col("id").alias("few_id"), F.col("v").alias("few_v"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).cast("int").alias("in_chunk")
+    )
+
+    def across(_key: tuple, few: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
+        if not len(few) or not len(many):
+            return no_rows("a", "b")
+        ids, number = np.unique(np.concatenate([few["few_id"].to_numpy(), many["id"].to_numpy()]), return_inverse=True)
+        left, right = number[: len(few)], number[len(few) :]
+        x, y, root = unpack(few["few_v"], dims), unpack(many["v"], dims), np.arange(len(ids), dtype=np.int32)
+        for lo in range(0, len(x), 256):
+            root = _joined(root, x[lo : lo + 256] @ y.T >= threshold, left[lo : lo + 256], right)
+        return _links_to_root(ids, root)
+
+    crossed = others.groupBy("in_component", "in_part", "in_chunk").cogroup(everyone.groupBy("component", "part", "chunk")).applyInPandas(across, "a string, b string")
+    own = rows.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+    return own.unionByName(merged.where("root <> merged").select(F.col("root").alias("a"), F.col("merged").alias("b"))).unionByName(crossed)
 
 
 def cluster_rows(vectors: DataFrame) -> DataFrame:
