@@ -50,3 +50,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder, so that a lost executor costs nothing upstream."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` in at least as many partitions as the session has cores.
+
+    For stages that spend far more on a row than reading it: a table in one small file would be read, and then worked
+    on, by one task. Tables with enough partitions pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
