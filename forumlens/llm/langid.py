@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forumlens.session import spread
+
 from . import charmodel
 from .charmodel import SPACE, WALL, CharModels
 
@@ -321,7 +323,7 @@ def language_segments(comments: DataFrame, lookup: DataFrame) -> DataFrame:
     source = comments.where("comment_body_text is not null").select(
         "comment_id", plain_code("weighted_language_code").alias("code"), F.col("language_name").alias("name"), F.col("comment_body_text").alias("text")
     )
-    found = source.mapInPandas(run, "comment_id string, segment_no int, language_code string, confidence double, is_case boolean")
+    found = spread(source).mapInPandas(run, "comment_id string, segment_no int, language_code string, confidence double, is_case boolean")
     return found.groupBy("comment_id", "segment_no", "language_code").agg(F.max("confidence").alias("confidence"), F.max("is_case").alias("is_case"))
 
 

@@ -21,6 +21,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from forumlens.session import spread
+
 #: The least part of an item's words that a leak holds, and the words per allowed error.
 PART_NUM, PART_DEN, WORDS_PER_ERROR = 2, 5, 8
 #: Words of a shard's array; a document longer than that is a shard of its own. Test items per pass, and their bytes.
@@ -305,6 +307,6 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                 yield shard_leaks(shared.value, np.array(ids), texts)
 
         schema = "doc_id long, item_id long, matched_words int, longest_verbatim int, doc_word int"
-        found = documents.select("doc_id", "text").where("text is not null and doc_id is not null").mapInPandas(run, schema)
+        found = spread(documents.select("doc_id", "text").where("text is not null and doc_id is not null")).mapInPandas(run, schema)
         out = found if out is None else out.unionByName(found)
     return out

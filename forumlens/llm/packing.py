@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forumlens.session import cut_lineage
+from forumlens.session import cut_lineage, spread
 
 #: Where the public tokenizers' files lie, and the one used; tokens of a pack, at least so many capacities.
 TOKENIZER_DIR, TOKENIZER, PACK_TOKENS, PACK_CAPACITIES = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken", 4_000_000, 200
@@ -55,7 +55,7 @@ def token_counts(documents: DataFrame, tokenizer: str | None = None) -> DataFram
             yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": sizes})
 
     rows = documents.where("doc_id is not null and text is not null and text <> ''").select("doc_id", "text")
-    return rows.mapInPandas(run, "doc_id long, tokens long")
+    return spread(rows).mapInPandas(run, "doc_id long, tokens long")
 
 
 class _Pool:
