@@ -114,9 +114,9 @@ def q6(t: Tables):
     return selected_countries(relevance_standardised(relevance_raw(pairs_of(t))), 0.05, 1.0)
 
 
-@query("Q28_relevant_with_clusters", f"select s.country, c.cluster_label, count(*) as rows from {_STD} s join cluster_labels c on c.model_sort_order % 5 = length(s.community) % 5 where s.country = 'GERMANY' and (s.share_of_community >= 0.01) group by 1, 2")
+@query("Q28_relevant_with_clusters", f"select s.country, c.cluster_label, count(*) as rows from {_STD} s join cluster_labels c on c.model_sort_order % 5 = length(s.community) % 5 where s.country = 'NATION_3' and (s.share_of_community >= 0.01) group by 1, 2")
 def q28(t: Tables):
-    std = relevance_standardised(relevance_raw(pairs_of(t))).where("country = 'GERMANY' and share_of_community >= 0.01").withColumn("slot", F.length("community") % 5)
+    std = relevance_standardised(relevance_raw(pairs_of(t))).where("country = 'NATION_3' and share_of_community >= 0.01").withColumn("slot", F.length("community") % 5)
     labels = t.cluster_labels.withColumn("slot", F.col("model_sort_order") % 5)
     return std.join(labels, "slot").groupBy("country", "cluster_label").agg(F.count(F.lit(1)).alias("rows"))
 

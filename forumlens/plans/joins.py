@@ -59,9 +59,9 @@ def j6(t: Tables):
     return t.supplier.join(F.broadcast(top), F.lit(True)).select("s_suppkey", F.round(F.col("s_acctbal") / F.col("top"), 6).alias("part"))
 
 
-@query("J7_scalar_subquery", "select o_orderkey from orders where o_totalprice > (select 2 * avg(o_totalprice) from orders)")
+@query("J7_scalar_subquery", "select o_orderkey from orders where o_totalprice > (select 1.5 * avg(o_totalprice) from orders)")
 def j7(t: Tables):
-    return t.spark.sql("select o_orderkey from {o} where o_totalprice > (select 2 * avg(o_totalprice) from {o})", o=t.orders)
+    return t.spark.sql("select o_orderkey from {o} where o_totalprice > (select 1.5 * avg(o_totalprice) from {o})", o=t.orders)
 
 
 @query("J8_semi_join_in", "select c_custkey from customer where c_custkey in (select distinct o_custkey from orders where o_orderpriority = '1-URGENT')")

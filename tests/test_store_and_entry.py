@@ -76,3 +76,12 @@ def test_queries_agree_with_sql_on_the_smallest_tables(spark, sf, name):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = con.execute(sql).df()
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
+
+
+def test_published_tables_conform(spark):
+    from forumlens import schemas
+
+    df = spark.createDataFrame([("c", 3, "extra")], "cluster string, members int, other string")
+    got = schemas.conform(df, schemas.CLUSTER_SUMMARY)
+    assert got.schema == schemas.CLUSTER_SUMMARY and got.first()["members"] == 3
+    assert all(schemas.conform(df, s).count() == 1 for s in schemas.PUBLISHED.values())
