@@ -56,7 +56,10 @@ def spread(df: DataFrame) -> DataFrame:
     """`df` in at least as many partitions as the session has cores.
 
     For stages that spend far more on a row than reading it: a table in one small file would be read, and then worked
-    on, by one task. Tables with enough partitions pass through without a shuffle.
+    on, by one task. Tables with enough partitions pass through without a shuffle, and so do plans that shuffle
+    already: counting the partitions of those would run them.
     """
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
