@@ -95,14 +95,15 @@ def fit_mixture(vectors: DataFrame, total: int, dims: int = 128, candidates: tup
     models = [start(sample, max(1, min(k, len(sample) // 2 or 1)), FEATURES) for k in wanted]
     spark = vectors.sparkSession
     best, least = models[0], None
+    step_rows = _rows_at_once(max(wanted))
     for step in range(STEPS):
         shared = spark.sparkContext.broadcast(models)
 
         def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             totals: dict[int, list] = {}
             for b in batches:
-                for lo in range(0, len(b), 2048):
-                    x = unpack(b["v"].iloc[lo : lo + 2048], dims).astype(np.float64)
+                for lo in range(0, len(b), step_rows):
+                    x = unpack(b["v"].iloc[lo : lo + step_rows], dims).astype(np.float64)
                     for i, m in enumerate(shared.value):
                         new = m.stats(m.features(x))
                         totals[i] = [p + q for p, q in zip(totals[i], new)] if i in totals else list(new)
@@ -126,15 +127,19 @@ def fit_mixture(vectors: DataFrame, total: int, dims: int = 128, candidates: tup
     return best
 
 
+def _rows_at_once(components: int) -> int:
+    """Rows whose table of densities is about 32 MB."""
+    return int(max(64, min(4096, 4_000_000 // max(1, components))))
+
+
 def memberships(vectors: DataFrame, model: Mixture, probes: int, dims: int = 128) -> DataFrame:
     """`id`, `v`, `component`, `nth` (0 is the most responsible), `responsibility`, `density` (log, over all components)."""
     shared = vectors.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        for b in batches:
-            if not len(b):
-                continue
+        size = _rows_at_once(len(m.weights))
+        for b in (whole.iloc[lo : lo + size] for whole in batches for lo in range(0, len(whole), size)):
             j = m.log_joint(m.features(unpack(b["v"], dims).astype(np.float64)))
             top = j.max(1, keepdims=True)
             density = top[:, 0] + np.log(np.exp(j - top).sum(1))
