@@ -150,6 +150,14 @@ def reduce_points(df: DataFrame, key: str, vector: str, centres: int, seed: int
     return placed, np.array(model.clusterCenters()), np.array([sizes.get(k, 0) or 1 for k in range(len(model.clusterCenters()))])
 
 
+def tree_points(df: DataFrame, key: str, vector: str, limit: int = MAX_POINTS) -> tuple[np.ndarray, np.ndarray]:
+    """(points, sizes) for a tree over all rows: the rows themselves, or as many centres where they are too many."""
+    if df.where(F.col(vector).isNotNull()).limit(limit + 1).count() <= limit:
+        x = collect_points(df, key, vector, limit)[1]
+        return x, np.ones(len(x))
+    return reduce_points(df, key, vector, limit)[1:]
+
+
 def labels_long(df: DataFrame, key: str, vector: str, counts: Sequence[int], normalise: bool = True, limit: int = MAX_POINTS) -> DataFrame:
     """`key`, `k`, `label`, `model_sort_order`: Ward labels of every row for each k."""
     spark = df.sparkSession

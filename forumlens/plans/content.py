@@ -111,10 +111,14 @@ def q10(t: Tables):
     return combined_text(docs, replies(t))
 
 
-@query("Q18_embedding_rollup", "select label, count(*) as documents from embeddings where vec_id % 3 = 0 group by 1 union all select label, 0::bigint from embeddings group by 1 having count(case when vec_id % 3 = 0 then 1 end) = 0")
+@query(
+    "Q18_embedding_rollup",
+    "with e as (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1)::int - 1 as pos from embeddings) select label, pos, count(*) as documents, round(avg(x), 5) + 0 as v from e group by 1, 2",
+)
 def q18(t: Tables):
     community = V.mean_vector(t.embeddings, ["label"], "embedding", name="community")
-    return community_rollup(t.embeddings.where("vec_id % 3 = 0").select("label", "embedding"), community, "label", "embedding").select("label", "documents")
+    rolled = community_rollup(t.embeddings.select("label", "embedding"), community, "label", "embedding")
+    return rolled.select("label", "documents", F.posexplode("vector").alias("pos", "v")).withColumn("v", F.round("v", 5) + F.lit(0.0))
 
 
 @query(

@@ -18,9 +18,9 @@ def y1(t: Tables):
     return t.nation.groupBy("n_regionkey").agg(F.array_join(F.reverse(names), ",").alias("names"), F.size(F.concat(names, names)).alias("twice"))
 
 
-@query("Y2_unnest_with_position", "select vec_id, generate_subscripts(embedding, 1)::int - 1 as pos, round(unnest(embedding)::double, 5) as v from embeddings where vec_id < 20")
+@query("Y2_unnest_with_position", "select vec_id, generate_subscripts(embedding, 1)::int - 1 as pos, round(unnest(embedding)::double, 5) as v from embeddings")
 def y2(t: Tables):
-    return t.embeddings.where("vec_id < 20").select("vec_id", F.posexplode("embedding").alias("pos", "v")).withColumn("v", F.round(F.col("v").cast("double"), 5))
+    return t.embeddings.select("vec_id", F.posexplode("embedding").alias("pos", "v")).withColumn("v", F.round(F.col("v").cast("double"), 5))
 
 
 @query("Y3_struct_access", "select subreddit_id, similar_subreddit[1].subreddit_id as best, round(similar_subreddit[1].cosine_similarity, 5) as c from similar_communities")
@@ -58,10 +58,10 @@ def y8(t: Tables):
 
 @query(
     "Y9_long_similarity_pairs",
-    "with x as (select vec_id, embedding::double[] as e from embeddings where label = 3) select a.vec_id as id_a, b.vec_id as id_b, round(list_cosine_similarity(a.e, b.e), 4) as c from x a, x b where a.vec_id <> b.vec_id qualify row_number() over (partition by a.vec_id order by list_cosine_similarity(a.e, b.e) desc, b.vec_id) <= 3",
+    "with x as (select vec_id, embedding::double[] as e from embeddings) select a.vec_id as id_a, b.vec_id as id_b, round(list_cosine_similarity(a.e, b.e), 4) as c from x a, x b where a.vec_id <> b.vec_id qualify row_number() over (partition by a.vec_id order by list_cosine_similarity(a.e, b.e) desc, b.vec_id) <= 3",
 )
 def y9(t: Tables):
-    best = V.cosine_topk(t.embeddings.where("label = 3"), "vec_id", "embedding", 3)
+    best = V.cosine_topk(t.embeddings, "vec_id", "embedding", 3)
     return best.select("id_a", "id_b", F.round("cosine_similarity", 4).alias("c"))
 
 

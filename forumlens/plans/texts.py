@@ -180,10 +180,10 @@ _WORDS = "[x for x in split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'),
 
 @query(
     "X27_ngrams",
-    f"with w as (select doc_id, {_WORDS} as w from documents where lang = 'en'), g as (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as i from w, (values (1), (2), (3)) k(n)) select doc_id, array_to_string(w[i:i + n - 1], ' ') as gram, count(*) as n from g group by 1, 2",
+    f"with w as (select doc_id, {_WORDS} as w from documents where text is not null), g as (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as i from w, (values (1), (2), (3)) k(n)) select doc_id, array_to_string(w[i:i + n - 1], ' ') as gram, count(*) as n from g group by 1, 2",
 )
 def x27(t: Tables):
-    grams = t.documents.where("lang = 'en'").select("doc_id", F.explode(X.ngrams(X.normalised_words(F.col("text"), ascii_only=True))).alias("gram"))
+    grams = t.documents.where("text is not null").select("doc_id", F.explode(X.ngrams(X.normalised_words(F.col("text"), ascii_only=True))).alias("gram"))
     return grams.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -34,15 +34,15 @@ def v2(t: Tables):
     return positions(V.mean_vector(t.embeddings, ["label"], "embedding"), "label")
 
 
-# The first vectors of each label stand for documents, those with an odd id for replies to them.
+# Every tenth vector stands for a document, the nine that follow for the replies to it.
 def documents_and_replies(t: Tables):
     doc = t.embeddings.where("vec_id % 10 = 0").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("d"), "label")
-    replies = t.embeddings.where("vec_id % 10 in (1, 3)").withColumn("doc", F.expr("vec_id - vec_id % 10"))
+    replies = t.embeddings.where("vec_id % 10 <> 0").withColumn("doc", F.expr("vec_id - vec_id % 10"))
     return doc.join(V.mean_vector(replies, ["doc"], "embedding", name="r"), "doc", "left")
 
 
 _DOC = "(select vec_id as doc, label, unnest(embedding)::double as x, generate_subscripts(embedding, 1)::int - 1 as pos from embeddings where vec_id % 10 = 0)"
-_REP = "(select vec_id - vec_id % 10 as doc, pos, avg(x) as x from (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1)::int - 1 as pos from embeddings where vec_id % 10 in (1, 3)) group by 1, 2)"
+_REP = "(select vec_id - vec_id % 10 as doc, pos, avg(x) as x from (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1)::int - 1 as pos from embeddings where vec_id % 10 <> 0) group by 1, 2)"
 _COM = f"(select label, pos, avg(x) as x from {_CELLS} group by 1, 2)"
 _B = f"(select d.doc, d.label, d.pos, case when r.x is null then d.x else (70 * d.x + 20 * r.x) / 90 end as x from {_DOC} d left join {_REP} r on r.doc = d.doc and r.pos = d.pos)"
 
@@ -69,23 +69,28 @@ def v4b(t: Tables):
     return positions(with_community(t, (0.85, 0.15)), "doc")
 
 
+_GROUP = "case when vec_id < 20 then vec_id when vec_id < 60 then 100 + vec_id // 2 else 200 + label end"
+
+
 @query(
     "V4c_community_rollup",
-    f"with n as (select label, count(*) as n from embeddings where vec_id % 7 = 0 group by 1), d as (select label, pos, sum(x) as s, count(*) as k from {_CELLS} where vec_id % 7 = 0 group by 1, 2), c as {_COM}"
-    " select c.label, c.pos, coalesce(n.n, 0)::bigint as documents, round(case when coalesce(n.n, 0) >= 3 then d.s / d.k when n.n >= 1 then (d.s + c.x) / (d.k + 1) else c.x end, 5) + 0 as v from c left join n on n.label = c.label left join d on d.label = c.label and d.pos = c.pos",
+    f"with e as (select {_GROUP} as g, unnest(embedding)::double as x, generate_subscripts(embedding, 1)::int - 1 as pos from embeddings), c as (select pos, avg(x) as x from e group by 1), d as (select g, pos, sum(x) as s, count(*) as k from e group by 1, 2)"
+    " select d.g::bigint as g, d.pos, d.k as documents, round(case when d.k >= 3 then d.s / d.k else (d.s + c.x) / (d.k + 1) end, 5) + 0 as v from d join c on c.pos = d.pos union all select -1::bigint, pos, 0::bigint, round(x, 5) + 0 from c",
 )
 def v4c(t: Tables):
     from .content import community_rollup
 
-    community = V.mean_vector(t.embeddings, ["label"], "embedding", name="community")
-    rolled = community_rollup(t.embeddings.where("vec_id % 7 = 0").select("label", "embedding"), community, "label", "embedding", 3)
-    return rolled.select("label", "documents", F.posexplode("vector").alias("pos", "v")).withColumn("v", F.round("v", 5))
+    grouped = t.embeddings.withColumn("g", F.expr(_GROUP.replace("vec_id // 2", "vec_id div 2")).cast("bigint"))
+    overall = V.mean_vector(t.embeddings.withColumn("every", F.lit(1)), ["every"], "embedding", name="community")  # one row
+    keys = grouped.select("g").distinct().unionByName(t.spark.createDataFrame([(-1,)], "g bigint"))
+    rolled = community_rollup(grouped.select("g", "embedding"), keys.join(F.broadcast(overall), F.lit(True)).drop("every"), "g", "embedding", 3)
+    return rolled.select("g", "documents", F.posexplode("vector").alias("pos", "v")).withColumn("v", F.round("v", 5) + F.lit(0.0))
 
 
-@query("V4d_plain_rollups", f"select label, 'documents' as kind, pos, round(avg(x), 5) + 0 as v from {_CELLS} where vec_id % 10 = 0 group by 1, 3 union all select label, 'with replies', pos, round(avg(x), 5) + 0 from {_CELLS} where vec_id % 10 in (0, 1, 3) group by 1, 3")
+@query("V4d_plain_rollups", f"select label, 'documents' as kind, pos, round(avg(x), 5) + 0 as v from {_CELLS} where vec_id % 10 = 0 group by 1, 3 union all select label, 'with replies', pos, round(avg(x), 5) + 0 from {_CELLS} where true group by 1, 3")
 def v4d(t: Tables):
     a = V.mean_vector(t.embeddings.where("vec_id % 10 = 0"), ["label"], "embedding").withColumn("kind", F.lit("documents"))
-    b = V.mean_vector(t.embeddings.where("vec_id % 10 in (0, 1, 3)"), ["label"], "embedding").withColumn("kind", F.lit("with replies"))
+    b = V.mean_vector(t.embeddings.where("true"), ["label"], "embedding").withColumn("kind", F.lit("with replies"))
     return positions(a.unionByName(b), "label", "kind")
 
 
@@ -126,9 +131,9 @@ def v8(t: Tables):
     return t.embeddings_community.where("posts_for_embeddings_count >= 3 or is_seed").select("subreddit_id", F.col("pt").cast("string").alias("pt"))
 
 
-@query("V9_l2_normalise", "select vec_id, pos, round(x / sqrt(sum(x * x) over (partition by vec_id)), 5) + 0 as v from (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1)::int - 1 as pos from embeddings where vec_id < 50)")
+@query("V9_l2_normalise", "select vec_id, pos, round(x / sqrt(sum(x * x) over (partition by vec_id)), 5) + 0 as v from (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1)::int - 1 as pos from embeddings)")
 def v9(t: Tables):
-    return positions(t.embeddings.where("vec_id < 50").withColumn("vector", V.l2_normalise(F.col("embedding"))), "vec_id")
+    return positions(t.embeddings.withColumn("vector", V.l2_normalise(F.col("embedding"))), "vec_id")
 
 
 @query("V10_reduce")
@@ -164,8 +169,7 @@ def v12(t: Tables):
 
 @query("V13_linkage")
 def v13(t: Tables):
-    keys, x = C.collect_points(t.embeddings.where("vec_id < 200"), "vec_id", "embedding")
-    tree = C.ward_tree(x)
+    tree = C.ward_tree(*C.tree_points(t.embeddings, "vec_id", "embedding"))
     return t.spark.createDataFrame([(k, int(a), int(b), float(d), int(n)) for k, (a, b, d, n) in enumerate(tree.tolist())], "merge int, first int, second int, distance double, count int")
 
 
@@ -181,8 +185,8 @@ def v15(t: Tables):
 
 @query("V16_best_counts")
 def v16(t: Tables):
-    _, x = C.collect_points(t.embeddings.where("vec_id < 300"), "vec_id", "embedding")
-    found = C.best_counts(C.ward_tree(x / np.linalg.norm(x, axis=1, keepdims=True)), [(2, 5), (6, 12), (13, 30), (31, 80)])
+    x, sizes = C.tree_points(t.embeddings, "vec_id", "embedding")
+    found = C.best_counts(C.ward_tree(x / np.linalg.norm(x, axis=1, keepdims=True), sizes), [(2, 5), (6, 12), (13, 30), (31, 80)])
     return t.spark.createDataFrame(found, "low int, high int, k int, acceleration double")
 
 
@@ -224,14 +228,14 @@ def v19(t: Tables):
 @query(
     "V20_user_vector",
     f"with s as (select user_id, event_type, count(*) / sum(count(*)) over (partition by user_id) as share from events group by 1, 2), m as (select label, pos, avg(x) as x from {_CELLS} group by 1, 2), k as (select * from (values ('view', 0), ('click', 1), ('purchase', 2), ('signup', 3)) v(event_type, label))"
-    " select user_id, pos, round(avg(share * x), 5) + 0 as v from s join k using (event_type) join m using (label) where pos < 8 group by 1, 2",
+    " select user_id, pos, round(avg(share * x), 5) + 0 as v from s join k using (event_type) join m using (label) group by 1, 2",
 )
 def v20(t: Tables):
     shares = R.share_of_total(t.events, ["user_id"], ["event_type"])
     kinds = t.spark.createDataFrame([("view", 0), ("click", 1), ("purchase", 2), ("signup", 3)], "event_type string, label int")
     means = V.mean_vector(t.embeddings, ["label"], "embedding", name="m")
     scaled = shares.join(F.broadcast(kinds), "event_type").join(means, "label").withColumn("s", F.transform("m", lambda x: x * F.col("share")))
-    return positions(V.mean_vector(scaled, ["user_id"], "s"), "user_id").where("pos < 8")
+    return positions(V.mean_vector(scaled, ["user_id"], "s"), "user_id")
 
 
 @query("V21_alignment")
