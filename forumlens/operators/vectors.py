@@ -1,7 +1,7 @@
 """Vectors as arrays: means, mixes, products and exact neighbours.
 
-Sums run in double precision. Means are plain aggregates over positions (built-in, map-side combined), so a group with
-millions of vectors costs its dimensions after the first stage.
+Sums run in double precision. Means are native aggregates with map-side partial sums, so a group with millions of vectors
+costs its dimensions after the first stage.
 """
 
 from __future__ import annotations
@@ -20,19 +20,26 @@ BLOCK = 8192
 
 
 def mean_vector(df: DataFrame, keys: Sequence[str], vector: str, weight: Column | None = None, name: str = "vector", count: str | None = None) -> DataFrame:
-    """The (weighted) mean per group, position by position: sum(w * x) / sum(w).
+    """The (weighted) mean per group: sum(w * x) / sum(w), with the number of vectors in `count` if asked for.
 
-    Null vectors and rows with a null weight do not count; a group whose weights sum to zero gets nulls. Vectors of
-    different lengths average what each position has.
+    A native vector aggregate with map-side partial sums: no row per position is made. Vectors that are null or hold a
+    null, and rows with a null weight, do not count. A group whose weights are all zero gets a null vector. Negative
+    weights, and vectors of different lengths in one group, are errors.
     """
-    w = F.lit(1.0) if weight is None else weight.cast("double")
-    rows = df.where(F.col(vector).isNotNull()).withColumn("__w", w).where("__w is not null")
-    cells = rows.select(*keys, "__w", F.posexplode(vector).alias("__pos", "__x"))
-    sums = cells.groupBy(*keys, "__pos").agg(F.sum(F.col("__w") * F.col("__x")).alias("__s"), F.sum("__w").alias("__t"), F.count(F.lit(1)).alias("__n"))
-    out = sums.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("__pos", F.try_divide("__s", F.nullif("__t", F.lit(0.0))).alias("v")))), lambda s: s["v"]).alias(name),
-        F.max("__n").alias("__count"),
-    )
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    rows = df.where(F.col(vector).isNotNull()).where(F.forall(vector, lambda x: x.isNotNull()))
+    n = F.count(F.lit(1)).alias("__n")
+    wide = array_to_vector(F.transform(vector, lambda x: x.cast("double")))
+    if weight is None:
+        out = rows.groupBy(*keys).agg(Summarizer.mean(wide).alias("__m"), n)
+    else:
+        weighted = rows.withColumn("__w", weight.cast("double")).where("__w is not null")
+        some = weighted.where("__w <> 0").groupBy(*keys).agg(Summarizer.mean(wide, F.col("__w")).alias("__m"), n)
+        none = weighted.groupBy(*keys).agg(n, F.max(F.abs("__w")).alias("__top")).where("__top = 0").drop("__top")
+        out = some.unionByName(none, allowMissingColumns=True)
+    out = out.select(*keys, F.when(F.col("__m").isNotNull(), vector_to_array("__m")).alias(name), F.col("__n").alias("__count"))
     return out.withColumnRenamed("__count", count) if count else out.drop("__count")
 
 
