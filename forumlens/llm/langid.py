@@ -54,7 +54,8 @@ def clean(text: str) -> str:
     """Links, addresses and invisible characters set aside; composed characters."""
     if "&" in text:
         text = html.unescape(text)
-    text = _LINK.sub(" ", text)
+    if "://" in text or "www." in text or "@" in text or "r/" in text or "u/" in text:
+        text = _LINK.sub(" ", text)
     if not text.isascii():
         text = _HIDDEN.sub("", unicodedata.normalize("NFC", text))
     return text.replace("\x01", " ")
