@@ -30,8 +30,8 @@ from .charmodel import SPACE, WALL, CharModels
 TRAIN_ROWS, TRAIN_CHARS, ROUNDS = 24_000, 120_000, 3
 #: What a change of language costs, in nats: more than a borrowed word gains, less than a sentence.
 SWITCH = 12.0
-#: Letters below which a text is never a case, and below which a stretch is no segment of its own.
-MIN_LETTERS, MIN_SEGMENT_LETTERS = 20, 10
+#: Letters below which a text is never a case; letters and words below which a stretch is no segment of its own.
+MIN_LETTERS, MIN_SEGMENT_LETTERS, MIN_SEGMENT_WORDS = 20, 10, 3
 #: Characters scored at once.
 CHUNK = 300_000
 #: Three-letter codes of the supported languages.
@@ -153,8 +153,8 @@ UNSPACED = ("ja",)
 def segments(models: CharModels, texts: list[str], temperature: float = 1.0) -> pd.DataFrame:
     """doc, segment_no, language_code, confidence, letters (of the whole text) for cleaned `texts`.
 
-    A stretch of one word, or of fewer than `MIN_SEGMENT_LETTERS` letters, is no segment: it goes to the stretch
-    around it. A text without letters gives no row; a rejected segment has the language 'und' and confidence 0.
+    A stretch of fewer than `MIN_SEGMENT_WORDS` words or `MIN_SEGMENT_LETTERS` letters is no segment: it goes to the
+    stretch before it, or to the first real one. A text without letters gives no row; a rejected segment has the language 'und' and confidence 0.
     """
     w = words_of(models, texts)
     n_docs = len(texts)
@@ -172,7 +172,7 @@ def segments(models: CharModels, texts: list[str], temperature: float = 1.0) ->
     score, letters, chars = (np.add.reduceat(x, begin, axis=0) for x in (w.score.astype(np.float64), w.letters, w.chars))
     n_words = np.diff(np.append(begin, len(w.doc)))
     total = np.bincount(w.doc, weights=w.letters, minlength=n_docs)
-    real = (letters >= MIN_SEGMENT_LETTERS) & ((n_words >= 2) | unspaced[code])
+    real = (letters >= MIN_SEGMENT_LETTERS) & ((n_words >= MIN_SEGMENT_WORDS) | unspaced[code])
     has_real = np.bincount(doc, weights=real, minlength=n_docs) > 0
     # A text without a real stretch is one segment as a whole; elsewhere small stretches join the one before (or after).
     whole = ~has_real[doc]
