@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +20,27 @@ DEFAULTS = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives this package to the session's Python workers, once.
+
+    Workers import it from a zip that Spark sends them, whether or not it lies on their path; an executor that joins
+    later gets it too.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="forumlens-package-"), "forumlens_package.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, f"{root.name}/{path.relative_to(root).as_posix()}")
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
+
+
 def build_session(app: str = "forumlens", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators were planned for; `conf` keys use `__` for dots."""
     builder = SparkSession.builder.appName(app)
@@ -24,7 +48,9 @@ def build_session(app: str = "forumlens", master: str | None = None, **conf: str
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
