@@ -8,6 +8,7 @@ start comes from a bounded sample; every EM step runs over all rows and sends on
 For clusters by a similarity threshold, an exact check follows: rows go to their `PROBES` most responsible components,
 and inside each component links at or above the threshold are found by blocks. A component too large for one task is
 split, and its largest cluster is found first, so that a hot cluster is not compared with itself pair by pair.
+The mixture only says which rows are compared: the clusters that come out and are described are those of the check.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forumlens.operators.graph import connected_components
+from forumlens.operators.vectors import cosine, mean_vector
 from forumlens.session import cut_lineage
 
 from .neighbours import spherical_means
@@ -289,21 +291,26 @@ def cluster_rows(vectors: DataFrame) -> DataFrame:
 
 
 def describe_components(vectors: DataFrame, topics: DataFrame, typical: int = 3, dims: int = 128) -> DataFrame:
-    """One row per mixture component: label, size, majority topic and the `typical` members of highest density.
+    """One row per cluster of `threshold_clusters`: label, size, majority topic and the `typical` members nearest its mean.
 
-    `topics` has `id`, `topic`; ids without a topic do not vote, and a component without votes has a null topic.
+    The label is the cluster's smallest id, the key of `cluster_rows`. A vector without partners is a cluster of one, so
+    the sizes add up to the vectors. `topics` has `id`, `topic`; ids without a topic do not vote, and a cluster without
+    votes has a null topic.
     """
     vectors = cut_lineage(vectors)
-    total = vectors.count()
-    model = fit_mixture(vectors, total, dims) if total else None
-    if model is None:
-        return vectors.sparkSession.createDataFrame([], "cluster_label string, size bigint, majority_topic string, typical_members string")
-    home = memberships(vectors, model, 1, dims).select("id", "component", "density").join(vectors.select("id", "name"), "id")
-    width = len(str(len(model.weights)))
-    label = F.lpad(F.col("component").cast("string"), max(4, width), "0").alias("cluster_label")
-    best = top_n_per_group(home, ["component"], [F.desc("density")], typical, ["id"], "nth")
-    names = best.groupBy("component").agg(F.concat_ws(" | ", F.transform(F.array_sort(F.collect_list(F.struct("nth", "name"))), lambda s: s["name"])).alias("typical_members"))
-    votes = home.join(topics, "id").where("topic is not null").groupBy("component", "topic").agg(F.count(F.lit(1)).alias("n"))
-    major = votes.groupBy("component").agg(F.max_by("topic", F.struct(F.col("n"), F.col("topic"))).alias("majority_topic"))
-    sizes = home.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    return sizes.join(names, "component").join(major, "component", "left").select(label, "size", "majority_topic", "typical_members")
+    roots = threshold_clusters(vectors, dims=dims).select(F.col("node").alias("id"), "root")
+    home = cut_lineage(vectors.join(roots, "id", "left").select("id", "name", "v", F.coalesce("root", "id").alias("cluster_label")))
+
+    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "name": b["name"], "cluster_label": b["cluster_label"], "x": list(unpack(b["v"], dims).astype(np.float64))})
+
+    rows = home.mapInPandas(unpacked, "id string, name string, cluster_label string, x array<double>")
+    means = mean_vector(rows, ["cluster_label"], "x", name="mean")
+    near = rows.join(means, "cluster_label").select("id", "name", "cluster_label", F.round(cosine(F.col("x"), F.col("mean")), 9).alias("near"))
+    best = top_n_per_group(near, ["cluster_label"], [F.desc("near")], typical, ["id"], "nth")
+    names = best.groupBy("cluster_label").agg(F.concat_ws(" | ", F.transform(F.array_sort(F.collect_list(F.struct("nth", "name"))), lambda s: s["name"])).alias("typical_members"))
+    votes = home.join(topics, "id").where("topic is not null").groupBy("cluster_label", "topic").agg(F.count(F.lit(1)).alias("n"))
+    major = votes.groupBy("cluster_label").agg(F.max_by("topic", F.struct(F.col("n"), F.col("topic"))).alias("majority_topic"))
+    sizes = home.groupBy("cluster_label").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.join(names, "cluster_label").join(major, "cluster_label", "left").select("cluster_label", "size", "majority_topic", "typical_members")

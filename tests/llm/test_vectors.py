@@ -73,6 +73,21 @@ def test_components_are_described(spark, cloud):
     assert sum(r["size"] for r in got) == len(cloud) and all(r["typical_members"] for r in got)
 
 
+def test_every_cluster_is_described_on_its_own(spark, cloud):
+    df = vectors.usable_vectors(spark.createDataFrame(rows_of(cloud), SCHEMA))
+    x = cloud / np.linalg.norm(cloud, axis=1, keepdims=True)
+    root = mixture._roots(len(x), *np.nonzero(x @ x.T >= 0.7))
+    topics = df.selectExpr("id", "if(id < 't00200', 'pets', null) topic")
+    got = {r["cluster_label"]: r for r in mixture.describe_components(df, topics).collect()}
+    assert {k: r["size"] for k, r in got.items()} == {f"t{k:05d}": n for k, n in enumerate(np.bincount(root)) if n}
+    for k, r in got.items():
+        mine = np.nonzero(root == int(k[1:]))[0]
+        near = np.round(x[mine] @ x[mine].mean(0), 4)
+        named = [int(n[1:]) for n in r["typical_members"].split(" | ")]
+        assert len(named) == min(3, len(mine)) and set(named) <= set(mine) and near[list(mine).index(named[0])] == near.max()
+        assert r["majority_topic"] == ("pets" if mine.min() < 200 else None)
+
+
 @pytest.mark.parametrize("block_rows", [None, 40])
 def test_neighbours_reach_the_recall(spark, cloud, block_rows):
     seeds = np.arange(len(cloud)) % 4 == 0
