@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from forumlens.operators import clustering as C
 from forumlens.operators import relational as R
-from forumlens.operators import vectors as V
 from forumlens.sources import store
 
 from .registry import Tables, query
@@ -58,9 +57,8 @@ _MEM = f"(select path1 as cluster, subreddit_id as id, subreddit_id in (select s
 
 @query("Q20_hierarchical_clusters")
 def q20(t: Tables):
-    means = V.mean_vector(t.embeddings.withColumn("g", F.expr("vec_id % 80")), ["g"], "embedding")
-    labels = C.labels_long(means, "g", "vector", (2, 4, 8, 16))
-    return labels.groupBy("g").pivot("k", [2, 4, 8, 16]).agg(F.max("label"))
+    labels = C.labels_long(t.embeddings, "vec_id", "embedding", (2, 4, 8, 16))
+    return labels.groupBy("vec_id").pivot("k", [2, 4, 8, 16]).agg(F.max("label"))
 
 
 @query("Q21_topic_mix", f"select subreddit_id, case when primary_topic is null then coalesce(cluster_majority_primary_topic, '') when cluster_majority_primary_topic is null or cluster_majority_primary_topic = primary_topic then primary_topic else primary_topic || ' | ' || cluster_majority_primary_topic end as topic_mix from {_LAB}")

@@ -148,8 +148,7 @@ def v10(t: Tables):
 
 
 def ward(t: Tables, counts=(2, 5, 10, 23)):
-    means = V.mean_vector(t.embeddings.withColumn("g", F.expr("vec_id % 60")), ["g"], "embedding")
-    return C.labels_long(means, "g", "vector", counts)
+    return C.labels_long(t.embeddings, "vec_id", "embedding", counts)
 
 
 @query("V11_ward_clusters")
@@ -180,7 +179,7 @@ def v14(t: Tables):
 
 @query("V15_leaf_order")
 def v15(t: Tables):
-    return ward(t, (2,)).select("g", "model_sort_order")
+    return ward(t, (2,)).select("vec_id", "model_sort_order")
 
 
 @query("V16_best_counts")

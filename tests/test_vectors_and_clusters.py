@@ -6,7 +6,8 @@ from forumlens.operators import alignment, metrics
 from forumlens.operators import clustering as C
 from forumlens.operators import graph
 from forumlens.operators import vectors as V
-from forumlens.plans import clusters, content, keywords
+from forumlens.plans import clusters, content, keywords, registry
+from forumlens.sources.catalog import table
 
 
 def frame(spark, x, extra=()):
@@ -82,6 +83,21 @@ def test_ward_tree_equals_the_definition():
     assert len(C.ward_tree(x[:1])) == 0
 
 
+def test_ward_queries_cover_every_vector(spark, sf):
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding").toPandas().sort_values("vec_id", ignore_index=True)
+    x = np.stack(rows["embedding"]).astype(float)
+    tree = C.ward_tree(x / np.linalg.norm(x, axis=1, keepdims=True))
+    run = lambda name: registry.queries()[name](spark, sf).toPandas()
+    labels = run("V11_ward_clusters")
+    for k, flat in C.cut(tree, len(x), (2, 5, 10, 23)).items():
+        mine = labels[labels["k"] == k].sort_values("vec_id")
+        assert mine["vec_id"].tolist() == rows["vec_id"].tolist() and mine["label"].tolist() == flat.tolist()
+    assert {(r.k, r.clusters, r.rows) for r in run("V14_flat_cuts").itertuples()} == {(k, k, len(x)) for k in (2, 5, 10, 23)}
+    assert run("V15_leaf_order").sort_values("vec_id")["model_sort_order"].tolist() == C.leaf_order(tree, len(x)).tolist()
+    nested = run("Q20_hierarchical_clusters").sort_values("vec_id")
+    assert nested["vec_id"].tolist() == rows["vec_id"].tolist() and nested["16"].tolist() == C.cut(tree, len(x), (16,))[16].tolist()
+
+
 def test_large_tables_are_reduced_first(spark):
     x = np.concatenate([np.random.default_rng(3).normal(c, 0.1, (40, 4)) for c in (0, 5, 10)])
     got = C.labels_long(frame(spark, x), "id", "v", (3,), normalise=False, limit=20).toPandas()
