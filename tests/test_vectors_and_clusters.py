@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +37,15 @@ def test_rollup_limits(spark):
     assert got == {"a": (2, 3.0), "b": (3, 3.0), "c": (0, 4.0)}
 
 
+def test_a_large_community_keeps_its_documents(spark):
+    docs = spark.createDataFrame([(i, f"p{i}", "c", "2024-01-01", i % 7, "some text") for i in range(45)], "doc_id long, post_id string, subreddit_id string, dt string, upvotes long, text string")
+    found = spark.createDataFrame([("p3", "2024-01-01", "de")], "post_id string, dt string, weighted_language_code string")
+    got = content.q8b(SimpleNamespace(documents=docs, post_language_detection_cld3_clean=found)).collect()
+    want = sorted(range(45), key=lambda i: (-(i % 7), i))
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["rank_in_community"])] == want
+    assert {r["doc_id"] for r in got if r["language"] == "de"} == {3}
+
+
 def test_angles_and_cosines(spark):
     df = spark.createDataFrame([(0.0,), (2**0.5,), (2.0,)], "d double")
     assert [r[0] for r in df.select(V.angular_to_cosine(F.col("d"))).collect()] == pytest.approx([1, 0, -1])
