@@ -138,43 +138,59 @@ def collect_points(df: DataFrame, key: str, vector: str, limit: int = MAX_POINTS
     return rows[key].to_numpy(), np.stack(rows[vector].to_numpy()).astype(float) if len(rows) else np.zeros((0, 1))
 
 
-def reduce_points(df: DataFrame, key: str, vector: str, centres: int, seed: int = 7):
+def reduce_points(df: DataFrame, key: str, vector: str, centres: int, seed: int = 7, normalise: bool = False):
     """(`key`, `centre`) per row, and the centres with their sizes: the first level where rows are too many for a tree."""
     from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import array_to_vector
 
     rows = df.where(F.col(vector).isNotNull()).select(key, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features"))
+    if normalise:
+        rows = Normalizer(inputCol="features", outputCol="unit").transform(rows).select(key, F.col("unit").alias("features"))
     model = KMeans(k=centres, seed=seed, maxIter=10, predictionCol="centre").fit(rows)
     placed = model.transform(rows).select(key, "centre")
     sizes = dict(placed.groupBy("centre").count().collect())
     return placed, np.array(model.clusterCenters()), np.array([sizes.get(k, 0) or 1 for k in range(len(model.clusterCenters()))])
 
 
-def tree_points(df: DataFrame, key: str, vector: str, limit: int = MAX_POINTS) -> tuple[np.ndarray, np.ndarray]:
-    """(points, sizes) for a tree over all rows: the rows themselves, or as many centres where they are too many."""
+def tree_leaves(df: DataFrame, key: str, vector: str, limit: int = MAX_POINTS, normalise: bool = False) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(`key`, `leaf`) of every row with a vector, and the points and sizes of a tree over them.
+
+    Leaves are the rows in order of `key`, or as many centres where they are too many. Rows get unit length before they
+    are averaged, so both trees are built in the same space.
+    """
     if df.where(F.col(vector).isNotNull()).limit(limit + 1).count() <= limit:
-        x = collect_points(df, key, vector, limit)[1]
-        return x, np.ones(len(x))
-    return reduce_points(df, key, vector, limit)[1:]
+        keys, x = collect_points(df, key, vector, limit)
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if normalise else x
+        named = [(k.item() if hasattr(k, "item") else k, i) for i, k in enumerate(keys)]
+        return df.sparkSession.createDataFrame(named, f"{key} {df.schema[key].dataType.simpleString()}, leaf int"), x, np.ones(len(x))
+    placed, centres, sizes = reduce_points(df, key, vector, limit, normalise=normalise)
+    return placed.select(key, F.col("centre").alias("leaf")), centres, sizes
+
+
+def tree_points(df: DataFrame, key: str, vector: str, limit: int = MAX_POINTS, normalise: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(points, sizes) for a tree over all rows: see `tree_leaves`."""
+    return tree_leaves(df, key, vector, limit, normalise)[1:]
+
+
+def linkage(df: DataFrame, key: str, vector: str, limit: int = MAX_POINTS) -> DataFrame:
+    """The tree and what its leaves stand for: rows with `merge`, `first`, `second`, `distance`, `count`, and rows with `key`, `leaf`.
+
+    Leaves are 0..n-1 and the m-th merge makes n+m, so a row with a vector is found in the tree by its `leaf`.
+    """
+    leaves, x, sizes = tree_leaves(df, key, vector, limit)
+    merges = [(k, int(a), int(b), float(d), int(n)) for k, (a, b, d, n) in enumerate(ward_tree(x, sizes).tolist())]
+    tree = df.sparkSession.createDataFrame(merges, "merge int, first int, second int, distance double, count int")
+    return tree.unionByName(leaves, allowMissingColumns=True)
 
 
 def labels_long(df: DataFrame, key: str, vector: str, counts: Sequence[int], normalise: bool = True, limit: int = MAX_POINTS) -> DataFrame:
     """`key`, `k`, `label`, `model_sort_order`: Ward labels of every row for each k."""
-    spark = df.sparkSession
-    kind = df.schema[key].dataType.simpleString()
-    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if normalise else x
-    few = df.where(F.col(vector).isNotNull()).limit(limit + 1).count() <= limit
-    if few:
-        keys, x = collect_points(df, key, vector, limit)
-        tree = ward_tree(unit(x))
-        flat, order = cut(tree, len(keys), counts), leaf_order(tree, len(keys))
-        rows = [(keys[i].item() if hasattr(keys[i], "item") else keys[i], int(k), int(lab[i]), int(order[i])) for k, lab in sorted(flat.items()) for i in range(len(keys))]
-        return spark.createDataFrame(rows, f"{key} {kind}, k int, label int, model_sort_order int")
-    placed, centres, sizes = reduce_points(df, key, vector, limit)
-    tree = ward_tree(unit(centres), sizes)
-    flat, order = cut(tree, len(centres), counts), leaf_order(tree, len(centres))
-    rows = [(i, int(k), int(lab[i]), int(order[i])) for k, lab in sorted(flat.items()) for i in range(len(centres))]
-    return placed.join(F.broadcast(spark.createDataFrame(rows, "centre int, k int, label int, model_sort_order int")), "centre").drop("centre")
+    leaves, x, sizes = tree_leaves(df, key, vector, limit, normalise)
+    tree = ward_tree(x, sizes)
+    flat, order = cut(tree, len(x), counts), leaf_order(tree, len(x))
+    rows = [(i, int(k), int(lab[i]), int(order[i])) for k, lab in sorted(flat.items()) for i in range(len(x))]
+    return leaves.join(F.broadcast(df.sparkSession.createDataFrame(rows, "leaf int, k int, label int, model_sort_order int")), "leaf").drop("leaf")
 
 
 def nested_label(columns: Sequence[str], width: int = 4) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from forumlens.operators import clustering as C
@@ -168,8 +167,7 @@ def v12(t: Tables):
 
 @query("V13_linkage")
 def v13(t: Tables):
-    tree = C.ward_tree(*C.tree_points(t.embeddings, "vec_id", "embedding"))
-    return t.spark.createDataFrame([(k, int(a), int(b), float(d), int(n)) for k, (a, b, d, n) in enumerate(tree.tolist())], "merge int, first int, second int, distance double, count int")
+    return C.linkage(t.embeddings, "vec_id", "embedding")
 
 
 @query("V14_flat_cuts")
@@ -184,8 +182,8 @@ def v15(t: Tables):
 
 @query("V16_best_counts")
 def v16(t: Tables):
-    x, sizes = C.tree_points(t.embeddings, "vec_id", "embedding")
-    found = C.best_counts(C.ward_tree(x / np.linalg.norm(x, axis=1, keepdims=True), sizes), [(2, 5), (6, 12), (13, 30), (31, 80)])
+    tree = C.ward_tree(*C.tree_points(t.embeddings, "vec_id", "embedding", normalise=True))
+    found = C.best_counts(tree, [(2, 5), (6, 12), (13, 30), (31, 80)])
     return t.spark.createDataFrame(found, "low int, high int, k int, acceleration double")
 
 

@@ -117,6 +117,28 @@ def test_large_tables_are_reduced_first(spark):
         C.collect_points(frame(spark, x), "id", "v", 20)
 
 
+@pytest.mark.parametrize("limit", [20, 200])
+def test_linkage_says_what_its_leaves_stand_for(spark, limit):
+    x = np.concatenate([np.random.default_rng(3).normal(c, 0.1, (40, 4)) for c in (0, 5, 10)])
+    got = C.linkage(frame(spark, x), "id", "v", limit).toPandas()
+    tree, leaves = got[got["merge"].notna()].sort_values("merge"), got[got["id"].notna()]
+    n = len(tree) + 1
+    assert sorted(leaves["id"]) == list(range(120)) and set(leaves["leaf"]) == set(range(n)) and n == min(limit, 120)
+    below = {int(k): set(g["id"].astype(int)) for k, g in leaves.groupby("leaf")}
+    for m in tree.itertuples():
+        below[n + int(m.merge)] = below[int(m.first)] | below[int(m.second)]
+        assert len(below[n + int(m.merge)]) == m.count
+    assert {frozenset(below[int(k)]) for k in tree.iloc[-2:][["first", "second"]].to_numpy().ravel()} >= {frozenset(range(80, 120))}
+
+
+def test_unit_length_comes_before_centres(spark):
+    x = np.random.default_rng(4).standard_normal((60, 3)) * np.random.default_rng(5).uniform(0.1, 9, (60, 1))
+    leaves, points, sizes = C.tree_leaves(frame(spark, x), "id", "v", 10, normalise=True)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for k, g in leaves.toPandas().groupby("leaf"):
+        assert len(g) == sizes[k] and np.allclose(points[k], unit[g["id"]].mean(0), atol=0.2)
+
+
 def test_dynamic_rollup(spark):
     df = spark.createDataFrame([(i, "1", "1-1" if i < 6 else "1-2") for i in range(8)] + [(9, "2", None)], "id int, p1 string, p2 string")
     got = {r["id"]: r["cluster"] for r in C.dynamic_clusters(df, "id", ["p1", "p2"], 5).collect()}
