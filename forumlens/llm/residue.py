@@ -14,6 +14,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -269,7 +270,7 @@ def scored(documents: DataFrame, model: Linear | None = None) -> DataFrame:
         for b in batches:
             p = np.zeros(len(b))
             for k, t in enumerate(b["text"]):
-                if m is None or sum(map(str.isalpha, t[:400])) < MIN_LETTERS and not fields(t):
+                if m is None or sum(1 for _ in islice(filter(str.isalpha, t), MIN_LETTERS)) < MIN_LETTERS and not fields(t):
                     continue
                 ids, values = featurise(t)[:2]
                 z = float(m.weights[ids] @ values) + m.bias

@@ -129,3 +129,11 @@ def test_held_out_hosts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     model = residue.fit(docs)
     assert model.precision > 0.95 and model.recall > 0.95
+
+
+def test_letters_are_counted_in_the_whole_text(spark):
+    model = residue.Linear(np.zeros(residue.DIMS, np.float32), 2.0, 0.5, 1e-5, 1.0, 1.0)
+    texts = ["=" * 500 + "\n404 Not Found: the page does not exist", "\n" * 3000 + "lorem ipsum dolor", "-" * 900 + " 1234567", "", "a page without rules"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["probability"] for r in residue.scored(docs, model).collect()}
+    assert {k for k, p in got.items() if p > 0} == {0, 1, 4} and len(got) == 5
