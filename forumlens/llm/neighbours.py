@@ -221,3 +221,11 @@ def neighbour_pairs(vectors: DataFrame, k: int = 5) -> DataFrame:
     found = nearest(vectors, k)
     pairs = found.select(F.least("q", "id").alias("subreddit_id_a"), F.greatest("q", "id").alias("subreddit_id_b"), "cosine")
     return pairs.groupBy("subreddit_id_a", "subreddit_id_b").agg(F.max("cosine").alias("cosine_similarity"))
+
+
+def similar_rows(vectors: DataFrame, k: int = 5) -> DataFrame:
+    """Every vector with its `k` nearest others by rank: `subreddit_id`, `similar_subreddit_id`, `similar_subreddit_name`, `cosine_similarity`, `distance_rank`."""
+    vectors = cut_lineage(vectors)
+    names = vectors.select("id", F.col("name").alias("similar_subreddit_name"))
+    found = nearest(vectors.select("id", "is_seed", "v"), k, "true").join(names, "id")
+    return found.select(F.col("q").alias("subreddit_id"), F.col("id").alias("similar_subreddit_id"), "similar_subreddit_name", F.col("cosine").alias("cosine_similarity"), F.col("rank").alias("distance_rank"))

@@ -65,7 +65,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.neighbour_pairs(vectors.usable_vectors(table(spark, sf_dir, "embeddings_community")))
+    return neighbours.similar_rows(vectors.usable_vectors(table(spark, sf_dir, "embeddings_community")))
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

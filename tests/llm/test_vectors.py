@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from forumlens.llm import mixture, neighbours, vectors
+from forumlens.llm import mixture, neighbours, queries, vectors
 
 SCHEMA = "pt string, model_version string, subreddit_id string, subreddit_name string, is_seed boolean, embeddings array<float>, v string, id string"
 
@@ -102,6 +102,20 @@ def test_neighbours_reach_the_recall(spark, cloud, block_rows):
     assert all(abs(r["cosine"] - s[int(r["q"][1:]), int(r["id"][1:])]) < 1e-5 for r in found)
 
 
+def test_pairs_cover_every_usable_vector(spark, sf):
+    rows = vectors.usable_vectors(queries.table(spark, sf, "embeddings_community")).toPandas()
+    x = vectors.unpack(rows["v"]).astype(float)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    got = queries.p5_pairs(spark, sf).toPandas()
+    assert set(got["subreddit_id"]) == set(rows["id"]) and not rows["is_seed"].all()
+    assert (got.groupby("subreddit_id")["distance_rank"].apply(sorted).map(tuple) == (1, 2, 3, 4, 5)).all()
+    at = {k: n for n, k in enumerate(rows["id"])}
+    want = {(rows["id"][q], rows["id"][k]) for q in range(len(x)) for k in np.argsort(-s[q], kind="stable")[:5]}
+    assert len(set(zip(got["subreddit_id"], got["similar_subreddit_id"])) & want) >= 0.98 * len(want)
+    assert all(abs(r.cosine_similarity - s[at[r.subreddit_id], at[r.similar_subreddit_id]]) < 1e-5 for r in got.itertuples())
+
+
 def test_equal_vectors_and_tiny_tables(spark):
     df = vectors.usable_vectors(spark.createDataFrame(rows_of(np.ones((4, 128))), SCHEMA))
     got = {(r["q"], r["id"], r["rank"]) for r in neighbours.nearest(df, 2).collect()}
