@@ -31,7 +31,7 @@ TRAIN_ROWS, TRAIN_CHARS, ROUNDS = 24_000, 120_000, 3
 #: What a change of language costs, in nats: more than a borrowed word gains, less than a sentence.
 SWITCH = 12.0
 #: Letters below which a text is never a case; letters and words below which a stretch is no segment of its own.
-MIN_LETTERS, MIN_SEGMENT_LETTERS, MIN_SEGMENT_WORDS = 20, 10, 3
+MIN_LETTERS, MIN_SEGMENT_LETTERS, MIN_SEGMENT_WORDS = 20, 10, 2
 #: Characters scored at once.
 CHUNK = 300_000
 #: Three-letter codes of the supported languages.

@@ -38,6 +38,12 @@ def test_segments_in_reading_order(models):
     assert list(got[got["doc"] == 1]["segment_no"]) == [0, 1, 2] and got["confidence"].between(0, 1).all()
 
 
+def test_two_words_are_a_segment_and_one_is_not(models):
+    m, heat = models
+    got = langid.segments(m, [langid.clean(EN[0] + x + EN[1]) for x in (". niemand getrunken. ", ". getrunken. ")], heat)
+    assert [list(g["language_code"]) for _, g in got.groupby("doc")] == [["en", "de", "en"], ["en"]]
+
+
 def test_neighbouring_texts_do_not_matter(models):
     m, heat = models
     alone = langid.segments(m, [EN[0]], heat)["confidence"].iloc[0]
