@@ -208,3 +208,8 @@ def test_encoder_batches(spark):
     df = spark.createDataFrame([(1, "abcdefgh"), (2, None), (3, "ab")], "id int, t string")
     got = {r["id"]: r["vector"] for r in V.batches_of(df, picky, "t", "id", 2).collect()}
     assert got == {1: [1.0, 1.0], 2: None, 3: [1.0, 1.0]}
+
+
+def test_classifier_grid_covers_every_kind(spark, sf):
+    got = registry.queries()["V23_classifier_grid"](spark, sf).toPandas()
+    assert got.groupby("kind")["n"].sum().to_dict() == dict.fromkeys(("logistic", "forest", "boosted"), table(spark, sf, "embeddings").count())
