@@ -68,6 +68,12 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.similar_rows(vectors.usable_vectors(table(spark, sf_dir, "embeddings_community")))
 
 
+def p5_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lists the seeds visit, of how many, and with how many rows they are compared, by number of lists."""
+    seen = neighbours.probe_report(vectors.usable_vectors(table(spark, sf_dir, "embeddings_community")))
+    return seen.groupBy("lists", "of_lists").agg(F.count(F.lit(1)).alias("queries"), F.avg("rows_compared").alias("rows_compared"))
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "token_budgets"))
 
@@ -144,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_ranks": p4_ranks,
         "p5_found": p5_found,
         "p5_pairs": p5_pairs,
+        "p5_probes": p5_probes,
         "p6_containers": p6_containers,
         "p6_unused": p6_unused,
         "p7_found": p7_found,

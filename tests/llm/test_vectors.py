@@ -125,6 +125,34 @@ def test_equal_vectors_and_tiny_tables(spark):
         assert neighbours.nearest(df, 5).count() == 0
 
 
+def test_many_equal_vectors_over_several_blocks_take_the_smallest_ids(spark):
+    rng = np.random.default_rng(8)
+    other = rng.standard_normal((90, 128))
+    x = np.concatenate([np.ones((60, 128)), other])
+    order = rng.permutation(len(x))
+    df = vectors.usable_vectors(spark.createDataFrame(rows_of(x[order]), SCHEMA))
+    got = neighbours.nearest(df, 2, block_rows=15).toPandas()
+    equal = sorted(f"t{k:05d}" for k in np.nonzero(order < 60)[0])
+    assert len(got) == 2 * len(x)
+    for q in equal:
+        mine = got[got["q"] == q].sort_values("rank")
+        assert list(mine["id"]) == [i for i in equal if i != q][:2] and (mine["cosine"] == 1).all()
+
+
+def test_nearly_equal_vectors_rank_by_id_in_every_list(spark):
+    rows = np.repeat(neighbours.rotation(128)[:1], 40, axis=0)
+    q, r, s = neighbours.scan(rows[:5], np.full(5, 1.0), rows, 3)
+    assert sorted(zip(q.tolist(), r.tolist())) == [(a, b) for a in range(5) for b in range(3)] and (s == 1).all()
+
+
+def test_few_lists_are_visited_where_neighbours_are_near(spark):
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.standard_normal((200, 128)), 12, axis=0) + 0.2 * rng.standard_normal((2400, 128))
+    df = vectors.usable_vectors(spark.createDataFrame(rows_of(x), SCHEMA))
+    seen = neighbours.probe_report(df, 5).toPandas()
+    assert len(seen) == 2400 and seen["lists"].mean() <= 0.35 * seen["of_lists"].iloc[0] and seen["rows_compared"].mean() < 900
+
+
 def test_scan_agrees_with_a_full_scan():
     rng = np.random.default_rng(5)
     base = rng.standard_normal((50, 128))
