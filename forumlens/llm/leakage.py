@@ -1,12 +1,13 @@
 """Evaluation texts leaking into training text (problem 7).
 
-Every partition of the corpus is a shard with its own suffix array over normalised words. The suffixes of all test
-items are looked up by binary search; a hit is extended to the longest verbatim match. A passage with at most one
-changed, missing or added word in eight holds a verbatim stretch of a length that follows from the size of the item
-(`seed_words`), so every such passage has a hit; it is then aligned exactly, from the hit outwards.
-
-Only suffixes that begin with words of some test item enter the array: no other suffix can match. The corpus is read
-once, nothing is shuffled, and copies of a document cost what they cost to read.
+Every partition of the corpus is a shard with its own suffix array over normalised words, ordered to the length of the
+longest test item. Every suffix of the test items is looked up in it by binary search; its neighbours in the array give the longest
+verbatim match and, where that is long enough, the interval of all its locations. A passage with at most one changed,
+missing or added word in eight holds a verbatim stretch of a length that follows from the size of the item
+(`seed_words`), so every such passage is located; it is then aligned exactly, from the match outwards.
+
+Suffixes that begin with no word gram of a test item stay out of the array: none of them can match. The corpus is read
+once a pass, nothing is shuffled, and copies of a document cost what they cost to read.
 """
 
 from __future__ import annotations
@@ -20,13 +21,16 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from forumlens.session import spread
 
 #: The least part of an item's words that a leak holds, and the words per allowed error.
 PART_NUM, PART_DEN, WORDS_PER_ERROR = 2, 5, 8
-#: Words of a shard's array; a document longer than that is a shard of its own. Test items per pass, and their bytes.
-SHARD_WORDS, ITEMS_PER_PASS, MAX_ITEM_BYTES = 1_500_000, 20_000, 64 << 20
+#: Words of a shard's array; a document longer than that is a shard of its own. Bytes of test items per pass; hits looked at at once.
+SHARD_WORDS, ITEM_BYTES, PAIRS_AT_ONCE = 1_500_000, 48 << 20, 200_000
+#: Items that may share a seed before its words are hot (see `_seeds`).
+HOT_ITEMS = 64
 #: Elements that stand inside words.
 _INLINE = re.compile(r"</?(?:a|b|i|u|s|em|strong|span|sup|sub|mark|small|font|code)(?:\s[^<>]*)?>", re.I)
 _TAG = re.compile(r"<(?:/?[a-zA-Z][^<>]*|!--.*?--)>", re.S)
@@ -63,7 +67,7 @@ def seed_words(n: int) -> int:
 
 @dataclass
 class Items:
-    """Test items of one class of seed: all words end to end, -1 between items."""
+    """Test items of one class: all words end to end, -1 between items, and the word grams that they hold."""
 
     ids: np.ndarray
     vocabulary: dict[str, int]
@@ -72,87 +76,188 @@ class Items:
     size: np.ndarray
     owner: np.ndarray  # item number of each position
     gram: int
-    grams: np.ndarray  # sorted packed grams of the items
-    joined: bool  # a seed is two grams, one after the other
+    tables: list[np.ndarray]  # sorted keys of the grams of 2, 3, ... words
+    ranks: np.ndarray  # gram at each position of `text`, 0 for none
+    seed: np.ndarray  # words that must match verbatim from each position for a hit; 0 where none starts
 
 
-def build(ids: list[int], texts: list[list[str]], seed: int) -> Items:
-    vocabulary: dict[str, int] = {}
+def build(ids: list[int], texts: list[list[str]], seed: int, vocabulary: dict[str, int] | None = None) -> Items:
+    """The items of a class; `seed` is the least `seed_words` among them. Classes may share a `vocabulary`."""
+    vocabulary = {} if vocabulary is None else vocabulary
     parts, start, at = [], [], 0
     for t in texts:
         parts.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in t] + [-1], dtype=np.int64))
         start.append(at)
         at += len(t) + 1
-    text = np.concatenate(parts)
-    size = np.array([len(t) for t in texts])
+    text, size = np.concatenate(parts), np.array([len(t) for t in texts])
     gram = 3 if seed >= 3 else 1
-    keys = _pack(text, gram, len(vocabulary))
-    return Items(np.array(ids), vocabulary, text, np.array(start), size, np.repeat(np.arange(len(texts)), size + 1), gram, np.unique(keys[keys >= 0]), seed >= 2 * gram)
-
-
-def _pack(text: np.ndarray, gram: int, vocabulary: int) -> np.ndarray:
-    """One number for the `gram` words from each position; -1 where one of them is unknown or beyond the end."""
-    bits = max(1, int(vocabulary).bit_length())
-    assert bits * gram <= 62
-    key, bad = np.zeros(len(text), dtype=np.int64), np.zeros(len(text), dtype=bool)
-    for k in range(gram):
-        w = np.full(len(text), -1, dtype=np.int64)
-        w[: len(text) - k] = text[k:]
-        bad |= w <= 0
-        key = (key << bits) | np.maximum(w, 0)
-    key[bad] = -1
-    return key
-
-
-def _ranks(items: Items, text: np.ndarray) -> np.ndarray:
-    """Per position, the number of its gram among the items' grams, or -1."""
-    key = _pack(text, items.gram, len(items.vocabulary))
-    out = np.full(len(text), -1, dtype=np.int64)
+    tables: list[np.ndarray] = []
+    ranks = np.maximum(text, 0)
+    for k in range(1, gram):
+        key = _extended(ranks, text, k)
+        tables.append(np.unique(key[key >= 0]))
+        ranks = _looked_up(tables[-1], key)
+    owner = np.repeat(np.arange(len(texts)), size + 1)
+    items = Items(np.array(ids), vocabulary, text, np.array(start), size, owner, gram, tables, ranks, np.zeros(len(text), dtype=np.int64))
+    items.seed[:] = _seeds(items)
+    return items
+
+
+def _extended(ranks: np.ndarray, text: np.ndarray, k: int) -> np.ndarray:
+    """One number for the gram at each position and the word `k` places on; -1 where either is missing."""
+    word = np.zeros(len(text), dtype=np.int64)
+    word[: len(text) - k] = np.maximum(text[k:], 0)
+    return np.where((ranks > 0) & (word > 0), (ranks << 31) | word, -1)
+
+
+def _looked_up(table: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """1 + place in the sorted `table`, 0 where absent."""
+    out = np.zeros(len(key), dtype=np.int64)
     known = np.nonzero(key >= 0)[0]
-    at = np.searchsorted(items.grams, key[known])
-    at[at == len(items.grams)] = 0
-    hit = items.grams[at] == key[known]
-    out[known[hit]] = at[hit]
+    if len(table) and len(known):
+        at = np.searchsorted(table, key[known])
+        at[at == len(table)] = 0
+        hit = table[at] == key[known]
+        out[known[hit]] = at[hit] + 1
     return out
 
 
-def _seed_keys(items: Items, ranks: np.ndarray) -> np.ndarray:
-    if not items.joined:
-        return ranks
-    after = np.full(len(ranks), -1, dtype=np.int64)
-    after[: len(ranks) - items.gram] = ranks[items.gram :]
-    return np.where((ranks >= 0) & (after >= 0), ranks * len(items.grams) + after, -1)
+def gram_ranks(items: Items, text: np.ndarray) -> np.ndarray:
+    """The gram of the items that starts at each position of `text`; 0 where none of them does."""
+    ranks = np.maximum(text, 0)
+    for k, table in enumerate(items.tables, start=1):
+        ranks = _looked_up(table, _extended(ranks, text, k))
+    return ranks
 
 
-def _shifted(x: np.ndarray, k: int) -> np.ndarray:
-    out = np.full(len(x), -1, dtype=np.int64)
-    if k < len(x):
-        out[: len(x) - k] = x[k:]
+class Suffixes:
+    """Suffixes of several gram texts, ordered whole by doubling: level k ranks them by their first 2**k grams.
+
+    Only positions where a gram of some item starts have a suffix here: no other one shares a gram with a test suffix.
+    """
+
+    def __init__(self, ranks: np.ndarray, longest: int):
+        self.at = np.nonzero(ranks > 0)[0]
+        self.place = np.full(len(ranks) + 1, -1, dtype=np.int64)
+        self.place[self.at] = np.arange(len(self.at))
+        stops = np.append(np.nonzero(ranks == 0)[0], len(ranks))
+        self.length = stops[np.searchsorted(stops, self.at)] - self.at
+        self.levels = [np.append(np.unique(ranks[self.at], return_inverse=True)[1] + 1, 0)]
+        while (1 << (len(self.levels) - 1)) < longest:
+            now = self.levels[-1]
+            key = now[:-1] * (len(self.at) + 2) + now[self.moved(np.arange(len(self.at)), 1 << (len(self.levels) - 1))]
+            self.levels.append(np.append(np.unique(key, return_inverse=True)[1] + 1, 0))
+
+    def moved(self, s: np.ndarray, by: int | np.ndarray) -> np.ndarray:
+        """The suffixes `by` grams on; -1, whose rank is 0, where there is none."""
+        return np.where(s >= 0, self.place[np.minimum(self.at[s] + by, len(self.place) - 1)], -1)
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Grams that suffixes a and b share from their start."""
+        total = np.zeros(len(a), dtype=np.int64)
+        bound = np.minimum(self.length[a], self.length[b])
+        x, y = a, b
+        for k in range(len(self.levels) - 1, -1, -1):
+            same = (x >= 0) & (y >= 0) & (self.levels[k][x] == self.levels[k][y])
+            total += same << k
+            x, y = np.where(same, self.moved(x, 1 << k), x), np.where(same, self.moved(y, 1 << k), y)
+        return np.minimum(total, bound)
+
+    def prefix(self, s: np.ndarray, depth: int) -> np.ndarray:
+        """A number for the first `depth` grams, in the order of the suffixes."""
+        k = depth.bit_length() - 1
+        return self.levels[k][s] * (len(self.at) + 2) + self.levels[k][self.moved(s, depth - (1 << k))]
+
+
+def _seeds(items: Items) -> np.ndarray:
+    """Per position, the words that must match from there for a hit, or 0.
+
+    Every leak of an item holds a verbatim stretch of `seed_words`. Where seeds are shared by more than `HOT_ITEMS` items
+    (a common opening, say), the words they cover are hot. A leak holds cool words too, and with them a cool verbatim
+    stretch of a length that follows from the places of the hot words; if that is a gram or more, only cool stretches of that length are
+    sought, and the hot ones lose nothing. An item that hot words alone could fill to a leak keeps all its seeds.
+    """
+    by_size = {int(n): seed_words(int(n)) for n in np.unique(items.size)}
+    own = np.array([by_size[int(n)] for n in items.size])
+    suffixes = Suffixes(items.ranks, int(items.size.max()))
+    left = items.start[items.owner] + items.size[items.owner] - np.arange(len(items.text))
+    out = np.where(left >= own[items.owner], own[items.owner], 0)
+    every = np.arange(len(suffixes.at))
+    hot = np.zeros(len(items.text) + 1, dtype=np.int64)
+    for s in np.unique(own):
+        depth = int(s) - items.gram + 1
+        deep = every[suffixes.length >= depth]
+        if depth < 1 or not len(deep):
+            continue
+        key = np.unique(suffixes.prefix(deep, depth), return_inverse=True)[1]
+        pairs = np.unique(np.stack([key, items.owner[suffixes.at[deep]]]), axis=1)
+        many = np.bincount(pairs[0])[key] > HOT_ITEMS
+        np.add.at(hot, suffixes.at[deep[many]], 1)
+        np.add.at(hot, suffixes.at[deep[many]] + int(s), -1)
+    hot = np.cumsum(hot)[:-1] > 0
+    stretch: dict[bytes, int] = {}
+    for who in np.unique(items.owner[hot]):
+        a, n = items.start[who], int(items.size[who])
+        cool = ~hot[a : a + n]
+        if cool.tobytes() not in stretch:
+            stretch[cool.tobytes()] = _cool_stretch(cool)
+        s = stretch[cool.tobytes()]
+        if s >= items.gram:
+            run = np.concatenate([[0], np.cumsum(cool)])
+            out[a : a + n + 1] = 0
+            starts = np.arange(n - s + 1)
+            out[a + starts[run[starts + s] - run[starts] == s]] = s
     return out
 
 
-def suffix_array(items: Items, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start positions in order of their words (to a depth of four grams), and their seed keys in that order."""
-    key = _seed_keys(items, ranks)
-    at = np.nonzero(key >= 0)[0]
-    reach = items.gram * (2 if items.joined else 1)
-    order = np.lexsort((_shifted(ranks, reach + items.gram)[at], _shifted(ranks, reach)[at], key[at]))
-    at = at[order]
-    return at, key[at]
+def _cool_stretch(cool: np.ndarray) -> int:
+    """The cool verbatim stretch that every leak of an item holds, from which of its words are cool."""
+    n = len(cool)
+    total = np.concatenate([[0], np.cumsum(cool)])
+    opens = np.concatenate([[0], np.cumsum(cool & ~np.concatenate([[False], cool[:-1]]))])
+    least = n
+    for k in range(needed(n), n + 1):
+        a, errors = np.arange(n - k + 1), k // WORDS_PER_ERROR
+        words = total[a + k] - total[a]
+        pieces = opens[a + k] - opens[a] + (cool[a] & (a > 0) & cool[np.maximum(a - 1, 0)])
+        least = min(least, int((-(-np.maximum(words - errors, 0) // np.maximum(pieces + errors, 1))).min()))
+        if least < 3:
+            break
+    return least
+
 
+def occurrences(items: Items, text: np.ndarray, block: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(item position, corpus position) of all seeds that cannot be extended to the left, at most `block` at a time.
 
-def occurrences(items: Items, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(item position, corpus position) of all seeds that cannot be extended to the left."""
-    array, keys = suffix_array(items, _ranks(items, text))
-    mine = _seed_keys(items, _ranks(items, items.text))
-    suffixes = np.nonzero(mine >= 0)[0]
-    lo = np.searchsorted(keys, mine[suffixes], side="left")
-    n = np.searchsorted(keys, mine[suffixes], side="right") - lo
-    i = np.repeat(suffixes, n)
-    j = array[np.repeat(lo, n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)]
-    first = (i == 0) | (j == 0)
-    extends = ~first & (items.text[i - 1] == text[j - 1]) & (items.text[i - 1] > 0)
-    return i[~extends], j[~extends]
+    Every test suffix is looked up in the shard's suffix array by binary search. Its neighbours there give its longest
+    verbatim match; where that is a seed or more, the suffixes that share the seed lie next to each other.
+    """
+    block = block or PAIRS_AT_ONCE
+    n = len(items.text)
+    both = Suffixes(np.concatenate([items.ranks, gram_ranks(items, text)]), int(items.size.max()))
+    array = np.nonzero(both.at >= n)[0]
+    array = array[np.argsort(both.levels[-1][array], kind="stable")]
+    tests = np.nonzero(both.at < n)[0]
+    tests = tests[items.seed[both.at[tests]] > 0]
+    if not len(array) or not len(tests):
+        return
+    at = np.searchsorted(both.levels[-1][array], both.levels[-1][tests])
+    longest = np.maximum(both.common(tests, array[np.maximum(at - 1, 0)]), both.common(tests, array[np.minimum(at, len(array) - 1)]))
+    depth = items.seed[both.at[tests]] - items.gram + 1
+    tests, depth = tests[longest >= depth], depth[longest >= depth]
+    for d in np.unique(depth):
+        mine, keys = tests[depth == d], both.prefix(array, int(d))
+        wanted = both.prefix(mine, int(d))
+        lo = np.searchsorted(keys, wanted, side="left")
+        count = np.searchsorted(keys, wanted, side="right") - lo
+        ends = np.cumsum(count)
+        for a in range(0, int(ends[-1]), block):
+            t = np.arange(a, min(a + block, int(ends[-1])))
+            which = np.searchsorted(ends, t, side="right")
+            i, j = both.at[mine[which]], both.at[array[lo[which] + t - (ends[which] - count[which])]] - n
+            before = (i > 0) & (j > 0) & (items.seed[i - 1] > 0)
+            extends = before & (items.text[i - 1] == text[j - 1]) & (items.text[i - 1] > 0)
+            yield i[~extends], j[~extends]
 
 
 def plausible(items: Items, text: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -241,56 +346,59 @@ def verify(own: np.ndarray, at: int, text: np.ndarray, j: int) -> tuple[int, int
 
 def shard_leaks(classes: list[Items], doc_ids: np.ndarray, texts: list[list[str]]) -> pd.DataFrame:
     """The leaks of one shard: doc_id, item_id, matched_words, longest_verbatim, doc_word."""
-    rows = []
+    rows, known = [], None
     for items in classes:
-        get = items.vocabulary.get
-        start, parts, at = [], [], 0
-        for t in texts:
-            part = np.fromiter((get(w, 0) for w in t), dtype=np.int64, count=len(t))
-            parts += [part, np.array([-1])]
-            start.append(at)
-            at += len(t) + 1
-        text, begin = np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array(start)
-        i, j = occurrences(items, text)
-        if not len(i):
-            continue
-        good = plausible(items, text, i, j)
-        i, j = i[good], j[good]
-        doc = np.searchsorted(begin, j, side="right") - 1
+        if items.vocabulary is not known:
+            known, get = items.vocabulary, items.vocabulary.get
+            size = np.array([len(t) for t in texts], dtype=np.int64)
+            begin = np.cumsum(size + 1) - size - 1
+            text = np.full(int((size + 1).sum()), -1, dtype=np.int64)
+            for at, t in zip(begin, texts):
+                text[at : at + len(t)] = [get(w, 0) for w in t]
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for a, b, d in zip(i, j, doc):
-            who = items.owner[a]
-            own = items.text[items.start[who] : items.start[who] + items.size[who]]
-            got = verify(own, int(a - items.start[who]), text, int(b))
-            key = (int(d), int(who))
-            if got and (key not in found or got > found[key][:2]):
-                found[key] = (*got, int(b - begin[d]))
+        for i, j in occurrences(items, text):
+            good = plausible(items, text, i, j)
+            i, j = i[good], j[good]
+            doc = np.searchsorted(begin, j, side="right") - 1
+            for a, b, d in zip(i, j, doc):
+                who = items.owner[a]
+                own = items.text[items.start[who] : items.start[who] + items.size[who]]
+                got = verify(own, int(a - items.start[who]), text, int(b))
+                key = (int(d), int(who))
+                if got and (key not in found or got > found[key][:2]):
+                    found[key] = (*got, int(b - begin[d]))
         rows += [(doc_ids[d], items.ids[who], *x) for (d, who), x in found.items()]
     return pd.DataFrame(rows, columns=["doc_id", "item_id", "matched_words", "longest_verbatim", "doc_word"])
 
 
+def classes_of(part: pd.DataFrame) -> list[Items]:
+    """The items of a pass in two classes, of long and of very short seeds, over one vocabulary."""
+    by_seed: dict[bool, tuple[list, list, list]] = {}
+    for item, text in zip(part["item_id"], part["text"]):
+        w = words(text)
+        if w:
+            s = seed_words(len(w))
+            ids, texts, seeds = by_seed.setdefault(s >= 3, ([], [], []))
+            ids.append(item)
+            texts.append(w)
+            seeds.append(s)
+    vocabulary: dict[str, int] = {}
+    return [build(ids, texts, min(seeds), vocabulary) for _, (ids, texts, seeds) in sorted(by_seed.items())]
+
+
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """`doc_id`, `item_id`, `matched_words`, `longest_verbatim`, `doc_word` of every document that holds part of an item.
 
-    Null and empty texts, items without words, and empty tables give no rows. `items` is a fixed table: it is read to
-    the driver in passes of `ITEMS_PER_PASS` items; more than `MAX_ITEM_BYTES` of text in a pass is an error.
+    Null and empty texts, items without words, and empty tables give no rows. Test items are hashed into passes of about
+    `ITEM_BYTES` of text; a pass's items, and no others, are on the driver and sent to the tasks, and each pass reads the corpus once.
     """
-    fixed = items.select("item_id", "text").where("text is not null").distinct().toPandas().sort_values(["item_id", "text"])
+    fixed = items.select("item_id", "text").where("text is not null").distinct()
+    size = fixed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = max(1, -(-size // ITEM_BYTES))
     out = None
-    for lo in range(0, max(1, len(fixed)), ITEMS_PER_PASS):
-        part = fixed.iloc[lo : lo + ITEMS_PER_PASS]
-        if part["text"].str.len().sum() > MAX_ITEM_BYTES:
-            raise ValueError("the test items of a pass are too large to be sent to every task")
-        by_seed: dict[int, tuple[list, list]] = {}
-        for item, text in zip(part["item_id"], part["text"]):
-            w = words(text)
-            if w:
-                s = seed_words(len(w))
-                ids, texts = by_seed.setdefault(6 if s >= 6 else 3 if s >= 3 else 1, ([], []))
-                ids.append(item)
-                texts.append(w)
-        classes = [build(ids, texts, s) for s, (ids, texts) in sorted(by_seed.items())]
-        shared = documents.sparkSession.sparkContext.broadcast(classes)
+    for n in range(passes):
+        mine = fixed.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == n) if passes > 1 else fixed
+        shared = documents.sparkSession.sparkContext.broadcast(classes_of(mine.toPandas().sort_values(["item_id", "text"])))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, texts, size = [], [], 0

@@ -109,6 +109,70 @@ def test_against_full_alignment():
     assert got == want and 0 < len(want) < 60
 
 
+def test_suffix_order_and_longest_matches():
+    rng = np.random.default_rng(6)
+    own = [[f"w{k}" for k in rng.integers(0, 5, n)] for n in (9, 30, 17)]
+    items = leakage.build([1, 2, 3], own, 3)
+    corpus = np.array([items.vocabulary.get(f"w{k}", 0) for k in rng.integers(0, 6, 400)], dtype=np.int64)
+    n = len(items.text)
+    both = leakage.Suffixes(np.concatenate([items.ranks, leakage.gram_ranks(items, corpus)]), 30)
+    whole = np.concatenate([items.text, corpus])
+
+    def shared(a, b):
+        k = 0
+        while a + k < len(whole) and b + k < len(whole) and whole[a + k] == whole[b + k] > 0 and (a + k < n) == (a < n) and (b + k < n) == (b < n):
+            k += 1
+        return k
+
+    tests, rows = np.nonzero(both.at < n)[0], np.nonzero(both.at >= n)[0]
+    array = rows[np.argsort(both.levels[-1][rows], kind="stable")]
+    for t in tests:
+        at = np.searchsorted(both.levels[-1][array], both.levels[-1][t])
+        near = [array[k] for k in (at - 1, at) if 0 <= k < len(array)]
+        got = max(int(both.common(np.array([t]), np.array([r]))[0]) for r in near)
+        best = max(shared(both.at[t], both.at[r]) for r in rows)
+        assert got == (best - 2 if best >= 3 else 0)
+
+
+def test_blocks_of_hits_change_nothing():
+    rng = np.random.default_rng(7)
+    own = [f"w{k}" for k in rng.integers(0, 6, 40)]
+    items = leakage.build([1], [own], leakage.seed_words(40))
+    text = np.array([items.vocabulary.get(f"w{k}", 0) for k in rng.integers(0, 6, 5000)], dtype=np.int64)
+    pairs = [set(zip(*(np.concatenate(c).tolist() for c in zip(*leakage.occurrences(items, text, b))))) for b in (7, None)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) > 10
+
+
+def test_a_common_opening_of_many_items():
+    rng = np.random.default_rng(8)
+    opening = [f"o{k}" for k in range(15)]
+    own = [opening + [f"w{k}" for k in rng.integers(0, 4000, 65)] for _ in range(300)]
+    items = leakage.build(list(range(300)), own, leakage.seed_words(80))
+    assert (items.seed[items.start] == 0).all() and (items.seed > 0).any()
+    texts = [opening + [f"x{k}" for k in rng.integers(0, 9000, 20)] for _ in range(500)]
+    texts += [own[k][:40] for k in range(5)] + [["a"] + own[k][12:50] for k in range(5, 9)]
+    text = np.array([x for t in texts for x in [*(items.vocabulary.get(w, 0) for w in t), -1]], dtype=np.int64)
+    assert sum(len(i) for i, _ in leakage.occurrences(items, text)) < 2000  # not 150,000
+    got = leakage.shard_leaks([items], np.arange(len(texts)), texts)
+    assert set(zip(got["doc_id"], got["item_id"])) == {(500 + k, k) for k in range(9)}
+
+
+def test_items_that_are_all_alike_are_found_in_all(spark):
+    own = [[f"o{k}" for k in range(30)] + [f"u{n}"] for n in range(80)]
+    items = leakage.build(list(range(80)), own, leakage.seed_words(31))
+    got = leakage.shard_leaks([items], np.arange(2), [own[3], ["z"] * 30])
+    assert set(got["doc_id"]) == {0} and set(got["item_id"]) == set(range(80))
+
+
+def test_passes_of_items_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    items = [(k, " ".join(f"w{x}" for x in rng.integers(0, 500, 30))) for k in range(12)]
+    texts = [items[k][1] for k in (2, 5, 11)]
+    whole = leaked(spark, texts, items)
+    monkeypatch.setattr(leakage, "ITEM_BYTES", 400)
+    assert leaked(spark, texts, items) == whole and set(whole) == {(0, 2), (1, 5), (2, 11)}
+
+
 def test_fields_and_quotes():
     assert residue.fields(residue.outside_code("Hi {{ user.name }}, `{{ code }}`\n```\n{{ block }}\n``` {x}")) == [("braces", "name"), ("brace", "x")]
     assert residue.fields("100% done, costs $5 (or so)") == []
