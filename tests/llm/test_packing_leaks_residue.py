@@ -201,3 +201,81 @@ def test_letters_are_counted_in_the_whole_text(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["probability"] for r in residue.scored(docs, model).collect()}
     assert {k for k, p in got.items() if p > 0} == {0, 1, 4} and len(got) == 5
+
+
+#: Plain short sentences in ten languages and more, none of which says anything about errors, scripts or fields.
+PLAIN = """
+Meine Katze schläft
+Good morning all
+Please bring a cake on Friday
+Zupa była pyszna
+Happy birthday Anna
+The soup was delicious
+We won the game yesterday
+Who wants to go hiking on Sunday?
+Looking for a used bicycle
+My dog loves the snow
+Thanks for the help everyone
+Das Wetter ist heute schön
+Wo finde ich gute Schuhe?
+Der Zug hatte wieder Verspätung
+Wir fahren morgen ans Meer
+Guten Abend zusammen
+El perro está en el jardín
+Feliz cumpleaños a todos
+Mañana vamos a la playa
+Necesito una receta de pan
+Buenas noches amigos
+Le chat dort sur le canapé
+Bonjour à tous
+On mange quoi ce soir ?
+Il pleut encore aujourd'hui
+J'adore ce livre
+Il gatto dorme sul divano
+Buongiorno a tutti
+Domani andiamo al mare
+La pizza era buonissima
+O cachorro está no jardim
+Bom dia a todos
+Amanhã vamos à praia
+A sopa estava ótima
+De kat slaapt op de bank
+Goedemorgen allemaal
+Morgen gaan we naar zee
+De soep was heerlijk
+Katten sover i soffan
+God morgon allihopa
+Imorgon åker vi till havet
+Soppan var jättegod
+Kot śpi na kanapie
+Dzień dobry wszystkim
+Jutro jedziemy nad morze
+Кошка спит на диване
+Доброе утро всем
+Завтра едем на море
+Kedi kanepede uyuyor
+Herkese günaydın
+Yarın denize gidiyoruz
+Çorba çok güzeldi
+猫がソファで寝ています
+おはようございます皆さん
+明日海に行きます
+बिल्ली सोफे पर सो रही है
+सबको नमस्ते
+""".strip().splitlines()
+
+
+def test_plain_short_sentences_are_no_residue(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = residue.fit(docs)
+    got = residue.scored(spark.createDataFrame(list(enumerate(PLAIN)), "doc_id long, text string"), model).collect()
+    assert len(PLAIN) >= 50 and not [PLAIN[r["doc_id"]] for r in got if r["is_residue"]]
+    more = ["Error 500 Internal Server Error. Please try again later.", "Please enable JavaScript to continue.", "Hello {{ first_name }}, your order from {{ store }} is ready"]
+    assert all(r["is_residue"] for r in residue.scored(spark.createDataFrame(list(enumerate(more)), "doc_id long, text string"), model).collect())
+
+
+def test_label_rules_are_no_features():
+    a, b = (residue.parts_of(t) for t in ("we met error 404 there", "we met error 404 here"))
+    assert len(a.extra) == 1 and a.extra == b.extra  # the length alone
+    f = residue.featurise([a, residue.parts_of(""), b])
+    assert list(np.diff(np.append(f.starts, len(f.ids)))) == [5 + 4 + 5 + 1, 1, 5 + 4 + 5 + 1]
