@@ -75,7 +75,8 @@ class CharModels:
     logp: list[np.ndarray]
     backoff: list[np.ndarray]
     floor: np.ndarray
-    reject: float = 1e9
+    #: Upper limits of the cross-entropy by length band and language (see `langid.calibrate`); None rejects nothing.
+    reject: np.ndarray | None = None
 
     def _find(self, k: int, hashes: np.ndarray) -> np.ndarray:
         """Position in the sorted array, -1 where absent."""

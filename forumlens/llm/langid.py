@@ -32,6 +32,11 @@ TRAIN_ROWS, TRAIN_CHARS, ROUNDS = 24_000, 120_000, 3
 SWITCH = 12.0
 #: Letters below which a text is never a case; letters and words below which a stretch is no segment of its own.
 MIN_LETTERS, MIN_SEGMENT_LETTERS, MIN_SEGMENT_WORDS = 20, 10, 2
+#: Code points of scripts written without spaces (South-East Asian and Tibetan, kana, Han), where a word is no measure.
+UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF))
+#: Calibration: words of the pieces that held-out texts are cut to, characters that bound the length bands, the part of texts in a foreign
+#: language that may be accepted, the part of texts in a known one that may be rejected (it goes first), and temperatures tried.
+PIECES, BANDS, ACCEPTED, REJECTED, HEATS = (2, 4, 8, 16), (24, 48, 96), 0.05, 0.001, tuple(2.0 ** (k / 2) for k in range(-12, 13))
 #: Characters scored at once.
 CHUNK = 300_000
 #: Three-letter codes of the supported languages.
@@ -69,6 +74,8 @@ class Words:
     score: np.ndarray
     letters: np.ndarray
     chars: np.ndarray
+    #: Words of scripts written without spaces.
+    unspaced: np.ndarray | None = None
 
 
 _LETTER: list[np.ndarray] = []
@@ -96,7 +103,7 @@ def words_of(models: CharModels, texts: list[str]) -> Words:
     starts = np.nonzero((c > WALL) & (before <= WALL))[0]
     n_lang = len(models.languages)
     if not len(starts):
-        return Words(np.zeros(0, int), np.zeros((0, n_lang), np.float32), np.zeros(0, int), np.zeros(0, int))
+        return Words(np.zeros(0, int), np.zeros((0, n_lang), np.float32), np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool))
     counted = (c != WALL) & ~((c == SPACE) & (before == WALL))
     ends = np.append(starts[1:], len(c))
     score = np.empty((len(starts), n_lang), dtype=np.float32)
@@ -109,7 +116,9 @@ def words_of(models: CharModels, texts: list[str]) -> Words:
         rows[~counted[lo:hi]] = 0
         score[a:b] = np.add.reduceat(rows, starts[a:b] - lo, axis=0)
         a = b
-    return Words(doc[starts], score, np.add.reduceat(letter.astype(np.int64), starts), np.add.reduceat(counted.astype(np.int64), starts))
+    opens = c[starts].astype(np.int64) - 2
+    unspaced = np.logical_or.reduce([(opens >= lo) & (opens <= hi) for lo, hi in UNSPACED])
+    return Words(doc[starts], score, np.add.reduceat(letter.astype(np.int64), starts), np.add.reduceat(counted.astype(np.int64), starts), unspaced)
 
 
 def best_path(w: Words, n_docs: int, price: float = SWITCH) -> np.ndarray:
@@ -146,10 +155,6 @@ def best_path(w: Words, n_docs: int, price: float = SWITCH) -> np.ndarray:
     return out
 
 
-#: Languages written without spaces, where a word is no measure.
-UNSPACED = ("ja",)
-
-
 def segments(models: CharModels, texts: list[str], temperature: float = 1.0) -> pd.DataFrame:
     """doc, segment_no, language_code, confidence, letters (of the whole text) for cleaned `texts`.
 
@@ -162,7 +167,6 @@ def segments(models: CharModels, texts: list[str], temperature: float = 1.0) ->
     if not len(w.doc):
         return pd.DataFrame({c: [] for c in columns})
     lang = best_path(w, n_docs)
-    unspaced = np.isin(np.arange(len(models.languages)), [models.languages.index(x) for x in UNSPACED if x in models.languages])
 
     def runs(lang: np.ndarray, doc: np.ndarray) -> np.ndarray:
         return np.nonzero(np.concatenate([[True], (lang[1:] != lang[:-1]) | (doc[1:] != doc[:-1])]))[0]
@@ -170,9 +174,9 @@ def segments(models: CharModels, texts: list[str], temperature: float = 1.0) ->
     begin = runs(lang, w.doc)
     doc, code = w.doc[begin], lang[begin]
     score, letters, chars = (np.add.reduceat(x, begin, axis=0) for x in (w.score.astype(np.float64), w.letters, w.chars))
-    n_words = np.diff(np.append(begin, len(w.doc)))
+    n_words, unspaced = np.diff(np.append(begin, len(w.doc))), np.maximum.reduceat(w.unspaced, begin)
     total = np.bincount(w.doc, weights=w.letters, minlength=n_docs)
-    real = (letters >= MIN_SEGMENT_LETTERS) & ((n_words >= MIN_SEGMENT_WORDS) | unspaced[code])
+    real = (letters >= MIN_SEGMENT_LETTERS) & ((n_words >= MIN_SEGMENT_WORDS) | unspaced)
     has_real = np.bincount(doc, weights=real, minlength=n_docs) > 0
     # A text without a real stretch is one segment as a whole; elsewhere small stretches join the one before (or after).
     whole = ~has_real[doc]
@@ -206,7 +210,9 @@ def segments(models: CharModels, texts: list[str], temperature: float = 1.0) ->
     score, chars, doc, code = np.add.reduceat(score, cut, axis=0), np.add.reduceat(chars, cut), doc[cut], code[cut]
     best = score[np.arange(len(code)), code]
     odds = np.exp(np.clip((score - best[:, None]) / (temperature * np.sqrt(np.maximum(chars, 1)))[:, None], -50, 50)).sum(1)
-    unknown = -best / np.maximum(chars, 1) > models.reject
+    unknown = np.zeros(len(code), dtype=bool)
+    if models.reject is not None:
+        unknown = -best / np.maximum(chars, 1) > models.reject[np.searchsorted(BANDS, chars, side="right"), code]
     names = np.array(models.languages, dtype=object)[code]
     number = np.arange(len(doc)) - np.searchsorted(doc, doc, side="left")
     return pd.DataFrame(
@@ -218,7 +224,7 @@ def fit(texts: list[str], labels: list[str], languages: list[str]) -> tuple[Char
     """Models from noisily labelled texts, and the temperature of the confidence.
 
     Every tenth text is held out. The others are relabelled in halves, each by the models of the other half (only texts
-    that come out as a single segment stay), and fitted again. The held-out texts set the limit of rejection and the temperature.
+    that come out as a single segment stay), and fitted again. The held-out texts set the limits of rejection and the temperature.
     """
     number = {x: i for i, x in enumerate(languages)}
     cleaned = [clean(t) for t in texts]
@@ -253,24 +259,53 @@ def fit(texts: list[str], labels: list[str], languages: list[str]) -> tuple[Char
                     new[mine[int(d)]] = number[code]
         now = new
     models = fitted(range(len(own)))
-    held = held[:2000]
-    w = words_of(models, [t for t, _ in held])
+    return models, calibrate(models, [t for t, _ in held], np.array([number[x] for _, x in held], dtype=int))
+
+
+def calibrate(models: CharModels, texts: list[str], truth: np.ndarray) -> float:
+    """Sets the limits of rejection from held-out texts, and returns the temperature of the confidence.
+
+    Only texts that come out whole in the language of their label count: labels are noisy. They are cut to pieces of
+    several lengths. What a foreign language looks like is known from the same pieces, scored without the model of
+    their own language. A limit lies as far above the median cross-entropy of its language as lets `ACCEPTED` of the
+    foreign pieces of a length band pass, but never so low that more than `REJECTED` of the band's own pieces fail.
+    The temperature has the least cross-entropy of the pieces' languages, where it is not at the end of `HEATS`.
+    """
+    w = words_of(models, texts)
     if not len(w.doc):
-        return models, 1.0
-    total = np.zeros((len(held), len(languages)))
-    np.add.at(total, w.doc, w.score)
-    chars = np.bincount(w.doc, weights=w.chars, minlength=len(held))
-    long = chars >= MIN_LETTERS
-    if not long.any():
-        return models, 1.0
-    total, chars, truth = total[long], chars[long], np.array([number[x] for _, x in held])[long]
-    models.reject = float(np.quantile(-total.max(1) / chars, 0.999) * 1.5 + 0.5)
-    logits = (total - total.max(1, keepdims=True)) / np.sqrt(chars)[:, None]
-    loss = {}
-    for heat in (0.1, 0.2, 0.4, 0.8, 1.6, 3.2):
-        z = logits / heat
-        loss[heat] = float((np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), truth]).mean())
-    return models, min(loss, key=loss.get)
+        return 1.0
+    path = best_path(w, len(texts))
+    n = np.bincount(w.doc, minlength=len(texts))
+    first = np.concatenate([[0], np.cumsum(n)[:-1]])
+    same = np.bincount(w.doc, weights=path == truth[w.doc], minlength=len(texts)) == n
+    letters = np.bincount(w.doc, weights=w.letters, minlength=len(texts))
+    whole = np.nonzero(same & (n > 0) & (letters >= MIN_LETTERS))[0]
+    if not len(whole):
+        return 1.0
+    score, chars = (np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x.astype(np.float64), axis=0)]) for x in (w.score, w.chars))
+    ends = np.concatenate([first[whole] + np.minimum(n[whole], k) for k in (*PIECES, int(n.max()))])
+    begins, own = np.tile(first[whole], len(PIECES) + 1), np.tile(truth[whole], len(PIECES) + 1)
+    total, size = score[ends] - score[begins], np.maximum(chars[ends] - chars[begins], 1)
+    at = np.arange(len(own))
+    cost = -total / size[:, None]
+    middle = np.array([np.median(cost[own == j, j]) if (own == j).any() else np.nan for j in range(len(models.languages))])
+    middle = np.where(np.isnan(middle), np.nanmedian(middle), middle)
+    without = cost.copy()
+    without[at, own] = np.inf
+    taken = without.argmin(1)
+    mine, foreign = cost[at, own] - middle[own], without[at, taken] - middle[taken]
+    band = np.searchsorted(BANDS, size, side="right")
+    models.reject = np.empty((len(BANDS) + 1, len(models.languages)))
+    for b in range(len(BANDS) + 1):
+        here = band == b if (band == b).sum() >= 50 else np.ones(len(band), dtype=bool)
+        models.reject[b] = middle + max(np.quantile(foreign[here], ACCEPTED), np.quantile(mine[here], 1 - REJECTED))
+    # Single words join the pieces here: longer ones are hardly ever mistaken, and would call for no doubt at all.
+    lone = np.nonzero(same[w.doc] & (w.letters > 0))[0]
+    total, size, own = np.concatenate([total, w.score[lone]]), np.concatenate([size, np.maximum(w.chars[lone], 1)]), np.concatenate([own, truth[w.doc[lone]]])
+    logits = (total - total.max(1, keepdims=True)) / np.sqrt(size)[:, None]
+    chosen = np.take_along_axis(logits, own[:, None], 1)[:, 0]
+    loss = {heat: float((np.log(np.exp(logits / heat).sum(1)) - chosen / heat).mean()) for heat in HEATS}
+    return min(loss, key=loss.get)
 
 
 def training_sample(comments: DataFrame, supported: list[str], rows: int = TRAIN_ROWS) -> tuple[list[str], list[str]]:

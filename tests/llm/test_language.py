@@ -88,3 +88,38 @@ def test_cases_on_a_small_table(spark, sf):
 def test_spellings_of_codes(spark):
     df = spark.createDataFrame([(" EN_us ",), ("deu",), ("pt-BR",), (None,), ("",), ("unknown",)], "c string")
     assert [r[0] for r in df.select(langid.plain_code("c")).collect()] == ["en", "de", "pt", None, "", "unknown"]
+
+
+@pytest.fixture(scope="module")
+def fitted(spark):
+    folder = "/root/testdata/sf0.1"
+    comments, lookup = table(spark, folder, "comment_language_detection_cld3_clean"), table(spark, folder, "language_lookup")
+    supported = sorted(r.language_code for r in lookup.where("supported").select("language_code").collect())
+    return langid.fit(*langid.training_sample(comments, supported), supported)
+
+
+def test_languages_without_a_model_and_noise_are_rejected(fitted):
+    m, heat = fitted
+    foreign = [
+        "고양이가 소파에서 자고 있고 우리는 내일 온 가족과 함께 바다에 갑니다", "القطة نائمة على الأريكة وغدا نذهب إلى البحر مع جميع أفراد العائلة", "Η γάτα κοιμάται στον καναπέ και αύριο πάμε στη θάλασσα",
+        "Kissa nukkuu sohvalla ja me menemme huomenna merelle uimaan koko perheen kanssa", "Con mèo đang ngủ trên ghế và ngày mai chúng tôi đi biển cùng cả gia đình", "A macska a kanapén alszik és holnap az egész családdal a tengerhez megyünk",
+        "Kočka spí na pohovce a zítra jedeme s celou rodinou k moři na výlet", "Кішка спить на дивані, а завтра ми їдемо на море всією родиною", "asdkjh qwelkj zxmcnb poiqwe lkjasd mnbzxc qpwoei rutyal skdjfh",
+    ]
+    got = langid.segments(m, [langid.clean(t) for t in foreign], heat)
+    assert set(got["language_code"]) == {"und"} and (got["confidence"] == 0).all() and set(got["doc"]) == set(range(len(foreign)))
+
+
+def test_temperature_lies_inside_its_grid_and_confidence_is_honest(fitted, spark):
+    m, heat = fitted
+    assert langid.HEATS[0] < heat < langid.HEATS[-1]
+    texts, labels = langid.training_sample(table(spark, "/root/testdata/sf0.01", "comment_language_detection_cld3_clean"), m.languages)
+    one = [(" ".join(t.split()[:2]), label) for t, label in zip(map(langid.clean, texts), labels) if len(t.split()) > 5]
+    got = langid.segments(m, [t for t, _ in one], heat).drop_duplicates("doc")
+    known = got[got["language_code"] != "und"]
+    right = known["language_code"].to_numpy() == np.array([one[int(d)][1] for d in known["doc"]])
+    assert len(known) > 0.5 * len(one) and abs(right.mean() - known["confidence"].mean()) < 0.12  # some labels are wrong
+
+
+def test_scripts_without_spaces_need_no_words():
+    m = charmodel.train([[charmodel.prepare(t) for t in EN], [charmodel.prepare("สวัสดีครับวันนี้อากาศดีมาก")] * 9], ["en", "th"])
+    assert list(langid.segments(m, [EN[0] + " สวัสดีครับวันนี้อากาศดีมาก " + EN[1]])["language_code"]) == ["en", "th", "en"]
