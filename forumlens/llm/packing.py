@@ -12,11 +12,13 @@ capacity in `PACK_TOKENS`. No item is dropped: every piece lies in exactly one c
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,15 +28,15 @@ from forumlens.session import cut_lineage, spread
 TOKENIZER_DIR, TOKENIZER, PACK_TOKENS, PACK_CAPACITIES = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken", 4_000_000, 200
 #: Fixed value: the pattern that splits text before byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Kinds of container at most; each is one more copy of the documents' sizes.
+#: Kinds of container at most, beyond which it is an error; each is one more copy of the documents' sizes (16 bytes a document).
 MAX_KINDS = 100
-#: Characters encoded at once; a run without spaces longer than that is cut, so that no text makes encoding quadratic.
-ENCODE_CHARS = 200_000
 
 _ENCODINGS: dict[str, object] = {}
 
 
 def _encoding(path: str):
+    sent = SparkFiles.get(os.path.basename(path))
+    path = sent if os.path.exists(sent) else path
     if path not in _ENCODINGS:
         import tiktoken
 
@@ -45,14 +47,17 @@ def _encoding(path: str):
 
 
 def token_counts(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """`doc_id`, `tokens`: whole texts, sized on the executors. Null and empty texts have no tokens and give no row."""
+    """`doc_id`, `tokens`: whole texts, sized on the executors. Null and empty texts have no tokens and give no row.
+
+    The tokenizer's file is sent from the driver to the executors, so no machine but the driver's must hold it.
+    """
     path = tokenizer or f"{TOKENIZER_DIR}/{TOKENIZER}"
+    documents.sparkSession.sparkContext.addFile(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoding(path).encode_ordinary
         for b in batches:
-            sizes = [sum(len(encode(t[lo : lo + ENCODE_CHARS])) for lo in range(0, len(t), ENCODE_CHARS)) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": sizes})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": [len(encode(t)) for t in b["text"]]})
 
     rows = documents.where("doc_id is not null and text is not null and text <> ''").select("doc_id", "text")
     return spread(rows).mapInPandas(run, "doc_id long, tokens long")
@@ -121,10 +126,10 @@ def best_two_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def pack(sized: DataFrame, budgets: DataFrame, pack_tokens: int = PACK_TOKENS) -> DataFrame:
-    """`container_kind`, `container_id`, `capacity_tokens`, `doc_id`, `piece_no`, `piece_tokens`, one row per piece.
+    """`container_kind`, `container_id`, `capacity_tokens`, `doc_id`, `copy_no`, `piece_no`, `piece_tokens`, one row per piece.
 
     `sized` has `doc_id`, `tokens`; null or non-positive sizes give no row. Repeated `doc_id`s are items of their own,
-    told apart by their size only. A document larger than the capacity is cut into full pieces and a rest. Kinds with a
+    told apart by `copy_no` (0 for the smallest). A document larger than the capacity is cut into full pieces and a rest. Kinds with a
     null or non-positive capacity give no row; either table may be empty.
     """
     wanted = budgets.where("container_kind is not null and capacity_tokens > 0").select("container_kind", F.col("capacity_tokens").cast("bigint").alias("capacity_tokens"))
@@ -146,10 +151,10 @@ def pack(sized: DataFrame, budgets: DataFrame, pack_tokens: int = PACK_TOKENS) -
         kind, number = key
         capacity = int(b["capacity_tokens"].iloc[0])
         b = b.sort_values(["doc_id", "tokens"], ignore_index=True)
-        tokens, docs = b["tokens"].to_numpy(), b["doc_id"].to_numpy()
+        tokens, docs, copy = b["tokens"].to_numpy(), b["doc_id"].to_numpy(), b.groupby("doc_id").cumcount().to_numpy()
         full, rest = tokens // capacity, tokens % capacity
         whole = np.repeat(np.arange(len(b)), full)
-        out = [(docs[k], n, capacity, bin_no) for bin_no, (k, n) in enumerate(zip(whole, (np.arange(len(whole)) - np.repeat(np.cumsum(full) - full, full)).tolist()))]
+        out = [(docs[k], copy[k], n, capacity, bin_no) for bin_no, (k, n) in enumerate(zip(whole, (np.arange(len(whole)) - np.repeat(np.cumsum(full) - full, full)).tolist()))]
         waiting: dict[int, list[int]] = {}
         for k in np.nonzero(rest)[0][::-1]:
             waiting.setdefault(int(rest[k]), []).append(int(k))
@@ -157,11 +162,11 @@ def pack(sized: DataFrame, budgets: DataFrame, pack_tokens: int = PACK_TOKENS) -
         for bin_no, sizes in enumerate(bins, start=len(out)):
             for size in sizes:
                 k = waiting[size].pop()
-                out.append((docs[k], int(full[k]), size, bin_no))
-        got = pd.DataFrame(out, columns=["doc_id", "piece_no", "piece_tokens", "bin"])
+                out.append((docs[k], copy[k], int(full[k]), size, bin_no))
+        got = pd.DataFrame(out, columns=["doc_id", "copy_no", "piece_no", "piece_tokens", "bin"])
         return got.assign(container_kind=kind, capacity_tokens=capacity, container_id=[f"{kind}-{number:06d}-{n:07d}" for n in got["bin"]]).drop(columns="bin")
 
-    schema = "doc_id long, piece_no int, piece_tokens long, container_kind string, capacity_tokens long, container_id string"
+    schema = "doc_id long, copy_no int, piece_no int, piece_tokens long, container_kind string, capacity_tokens long, container_id string"
     return pairs.groupBy("container_kind", "pack").applyInPandas(run, schema)
 
 

@@ -2,7 +2,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from forumlens.llm import leakage, packing, residue
+from forumlens.llm import leakage, packing, queries, residue
 
 
 @settings(max_examples=60, deadline=None)
@@ -45,6 +45,36 @@ def test_token_counts_of_whole_texts(spark):
     assert got[1] == 3 and set(got) == {1, 4} and got[4] > 1000
 
 
+def test_no_cut_changes_a_count(spark):
+    import random
+
+    draw = random.Random(1)
+    texts = ["".join(draw.choice("abcdefgh ") for _ in range(450_000)), "ab cd " * 70_000]
+    got = {r["doc_id"]: r["tokens"] for r in packing.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    encode = packing._encoding(f"{packing.TOKENIZER_DIR}/{packing.TOKENIZER}").encode_ordinary
+    assert got == {k: len(encode(t)) for k, t in enumerate(texts)}
+
+
+def test_real_documents_fill_their_containers(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    tokens = packing.token_counts(docs).toPandas()["tokens"].sum()
+    pieces = queries.p6_containers(spark, folder).toPandas()
+    assert (pieces.groupby("container_kind")["piece_tokens"].sum() == tokens).all()
+    assert not pieces.duplicated(["container_kind", "doc_id", "copy_no", "piece_no"]).any()
+    for r in queries.p6_unused(spark, folder).collect():
+        capacity = pieces[pieces["container_kind"] == r["container_kind"]]["capacity_tokens"].iloc[0]
+        least = -(-tokens // capacity)
+        assert r["tokens"] == tokens and r["containers"] <= 1.01 * least + 2
+
+
+def test_repeated_documents_have_numbers(spark):
+    sized = spark.createDataFrame([(6, 6), (6, 6), (6, 25), (7, 1)], "doc_id long, tokens long")
+    kinds = spark.createDataFrame([("s", 10)], "container_kind string, capacity_tokens long")
+    got = sorted((r["doc_id"], r["copy_no"], r["piece_no"], r["piece_tokens"]) for r in packing.pack(sized, kinds).collect())
+    assert got == [(6, 0, 0, 6), (6, 1, 0, 6), (6, 2, 0, 10), (6, 2, 1, 10), (6, 2, 2, 5), (7, 0, 0, 1)]
+
+
 ITEM = " ".join(f"w{k}" for k in range(80))
 
 
