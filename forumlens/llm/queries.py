@@ -25,6 +25,12 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p1_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivorship.consensus_fields(
+        table(spark, sf_dir, "comment_language_v2"), table(spark, sf_dir, "post_language_detection_cld3_clean")
+    )
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.cluster_rows(vectors.usable_vectors(table(spark, sf_dir, "embeddings_community")))
 
@@ -142,6 +148,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_records": p1_records,
+        "p1_consensus": p1_consensus,
         "p2_found": p2_found,
         "p2_clusters": p2_clusters,
         "p3_found": p3_found,

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from forumlens.llm import ranking, survivorship
+from forumlens.sources.catalog import table
 
 DETECTIONS = (
     "detection_id long, created_timestamp timestamp, post_id string, id string, user_id string, thing_type string, app_name string, "
@@ -67,6 +68,51 @@ def test_consensus_votes_by_column():
     assert survivorship.closest_to_consensus([long, long.replace("7", "x"), "y"]) == 0
 
 
+def test_agreement_decides_where_evidence_is_weighed(spark):
+    rows = [
+        detection(1, "t3_a", "u", 9, 0.9, "de", text="the cat sat on teh mat"),  # latest, so first in trust order
+        detection(2, "t3_a", "v", 5, 0.8, "en", text="the cat sat on the mat"),
+        detection(3, "t3_a", "w", 4, 0.8, "en", text="the cat sat on the mat"),
+        detection(4, "t3_a", "x", 3, None, "en", text="a cat sat on the mat today"),
+        detection(5, "t3_b", "w", 4, 0.6, "en"), detection(6, "t3_b", "a", 1, 0.6, "fr"),
+    ]
+    tables = spark.createDataFrame(rows, DETECTIONS), spark.createDataFrame([("b", "a", "x")], POSTS)
+    trusted = {(r["id"], r["field_name"]): r["detection_id"] for r in survivorship.surviving_fields(*tables).collect()}
+    for chunk in (256, 2):
+        got = {(r["id"], r["field_name"]): r for r in survivorship.consensus_fields(*tables, chunk=chunk).collect()}
+        assert got[("t3_a", "text")]["detection_id"] == 2 and trusted[("t3_a", "text")] == 1
+        assert got[("t3_a", "language")]["value"] == "en" and got[("t3_a", "language")]["detection_id"] == 2 and trusted[("t3_a", "language")] == 1
+        assert (got[("t3_a", "text")]["votes"], got[("t3_a", "text")]["values"]) == (4, 3) and 0.5 < got[("t3_a", "text")]["support"] < 0.7
+        assert got[("t3_b", "language")]["value"] == "fr" and got[("t3_b", "language")]["support"] == pytest.approx(2 / 3)  # by the author
+
+
+def test_a_consensus_that_no_value_equals():
+    values = ["x b c d", "a y c d", "a b z d"]
+    assert survivorship.consensus([v.split() for v in values], [1.0, 1.0, 1.0]) == "a b c d".split()
+    assert survivorship.closest_to_consensus(values, [1.0, 1.0, 1.0]) == 0 and survivorship.closest_to_consensus(["x y c d", "a b z d", "a b c e"], [1.0, 1.0, 1.0]) == 1
+
+
+def test_consensus_over_a_real_table_and_empty_ones(spark, sf):
+    detections, posts = table(spark, sf, "comment_language_v2"), table(spark, sf, "post_language_detection_cld3_clean")
+    by_evidence, by_trust = survivorship.consensus_fields(detections, posts).toPandas(), survivorship.surviving_fields(detections, posts, with_value=True).toPandas()
+    both = by_evidence.merge(by_trust, on=["id", "field_name"], suffixes=("", "_trusted"))
+    assert len(both) == len(by_evidence) == len(by_trust) and (both["support"] > 0).all() and (both["support"] <= 1 + 1e-9).all()
+    single = both[both["values"] == 1]
+    assert (single["value"] == single["value_trusted"]).all() and (single["detection_id"] == single["detection_id_trusted"]).all() and (both["value"] != both["value_trusted"]).any()
+    assert survivorship.consensus_fields(detections.limit(0), posts).count() == 0
+
+
+def test_alignments_beyond_the_table_are_exact(monkeypatch):
+    rng = __import__("random").Random(3)
+    pairs = [([rng.choice("abc") for _ in range(rng.randrange(1, 40))], [rng.choice("abc") for _ in range(rng.randrange(1, 40))]) for _ in range(60)]
+    whole = [survivorship.distance(a, b) for a, b in pairs]
+    monkeypatch.setattr(survivorship, "CELLS", 6)
+    assert [survivorship.distance(a, b) for a, b in pairs] == whole
+    for a, b in pairs:
+        found = survivorship.align(a, b)
+        assert [i for i, _ in found if i >= 0] == list(range(len(a))) and [j for _, j in found if j >= 0] == list(range(len(b)))
+
+
 def test_alignment_covers_both_sides():
     pairs = survivorship.align(list("kitten"), list("sitting"))
     assert [i for i, _ in pairs if i >= 0] == list(range(6)) and [j for _, j in pairs if j >= 0] == list(range(7))
