@@ -1,9 +1,9 @@
 """Grouping records into similarity clusters (problem 2).
 
 A Gaussian mixture is fitted by expectation-maximisation on standardised, reduced features: principal components of
-the standardised vectors, diagonal covariances pulled towards the pooled one. Several numbers of components, in
-proportion to the square root of the rows, are fitted side by side and the Bayesian information criterion chooses. The
-start comes from a bounded sample; every EM step runs over all rows and sends only sums per component to the driver.
+the standardised vectors, diagonal covariances pulled towards the pooled one. Several numbers of components are fitted
+side by side until EM settles, and the Bayesian information criterion chooses; the range is widened until its minimum lies inside. The
+start comes from a bounded sample; EM then runs over all rows and sends only sums per component to the driver.
 
 For clusters by a similarity threshold, an exact check follows: rows go to their `PROBES` most responsible components,
 and inside each component links at or above the threshold are found by blocks. A component too large for one task is
@@ -28,10 +28,15 @@ from .neighbours import spherical_means
 from .ranking import top_n_per_group
 from .vectors import bounded_sample, no_rows, unpack
 
-#: Rows of the sample that gives the start; features kept; EM steps over all rows; pull towards the pooled covariance.
-SAMPLE, FEATURES, STEPS, SHRINK = 16_384, 32, 3, 0.2
+#: Rows of the sample that gives the start, at least, and per square root of all rows; features kept; pull towards the pooled covariance.
+SAMPLE, SAMPLE_ROOTS, FEATURES, SHRINK = 16_384, 8, 32, 0.2
+#: Gain of the log-likelihood under which EM has settled, a guard against steps without end, and the numbers of components tried
+#: first, in square roots of the rows.
+GAIN, MAX_STEPS, FIRST_TRIED = 1e-3, 200, (0.25, 0.5, 1.0)
 #: Components a row is looked up in; rows that one task compares with each other.
 PROBES, TASK_ROWS = 6, 8192
+#: Local clusters that speak for a component that is larger than a task.
+SPEAKERS = 20
 _DIAGONAL_FLOOR = 1e-3
 
 
@@ -89,44 +94,89 @@ def start(x: np.ndarray, k: int, features: int) -> Mixture:
     return blank.updated(mass, first, second)
 
 
-def fit_mixture(vectors: DataFrame, total: int, dims: int = 128, candidates: tuple[int, ...] | None = None) -> Mixture:
-    """The mixture over all `vectors` whose number of components has the least information criterion."""
-    sample = unpack(bounded_sample(vectors.select("id", "v"), SAMPLE, total)["v"], dims).astype(np.float64)
-    root = np.sqrt(total)
-    wanted = candidates or tuple(sorted({max(1, int(root * x)) for x in (0.25, 0.5, 1.0)}))
-    models = [start(sample, max(1, min(k, len(sample) // 2 or 1)), FEATURES) for k in wanted]
-    spark = vectors.sparkSession
-    best, least = models[0], None
-    step_rows = _rows_at_once(max(wanted))
-    for step in range(STEPS):
+def _settled(before: float, now: float) -> bool:
+    return now - before <= GAIN * abs(before)
+
+
+def _passes(vectors: DataFrame, models: dict[int, Mixture], total: int, dims: int) -> dict[int, tuple[Mixture, float]]:
+    """EM steps over all rows, several mixtures side by side, each until a step gains less than `GAIN` of its log-likelihood.
+
+    Returns each mixture with its information criterion, measured on the parameters that are returned.
+    """
+    spark, done, last = vectors.sparkSession, {}, {}
+    for step in range(MAX_STEPS):
         shared = spark.sparkContext.broadcast(models)
+        rows_at_once = _rows_at_once(max(models))
 
-        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def sums(batches: Iterator[pd.DataFrame], shared=shared, rows_at_once=rows_at_once) -> Iterator[pd.DataFrame]:
             totals: dict[int, list] = {}
             for b in batches:
-                for lo in range(0, len(b), step_rows):
-                    x = unpack(b["v"].iloc[lo : lo + step_rows], dims).astype(np.float64)
-                    for i, m in enumerate(shared.value):
+                for lo in range(0, len(b), rows_at_once):
+                    x = unpack(b["v"].iloc[lo : lo + rows_at_once], dims).astype(np.float64)
+                    for k, m in shared.value.items():
                         new = m.stats(m.features(x))
-                        totals[i] = [p + q for p, q in zip(totals[i], new)] if i in totals else list(new)
-            for i, (mass, first, second, loglik) in totals.items():
-                yield pd.DataFrame({"model": i, "component": np.arange(len(mass)), "mass": mass, "first": list(first), "second": list(second), "loglik": [loglik] + [0.0] * (len(mass) - 1)})
+                        totals[k] = [p + q for p, q in zip(totals[k], new)] if k in totals else list(new)
+            for k, (mass, first, second, loglik) in totals.items():
+                yield pd.DataFrame({"model": k, "component": np.arange(len(mass)), "mass": mass, "first": list(first), "second": list(second), "loglik": [loglik] + [0.0] * (len(mass) - 1)})
 
         schema = "model int, component int, mass double, first array<double>, second array<double>, loglik double"
         partial = vectors.select("v").mapInPandas(sums, schema)
         # Per task one row for each component; added up over tasks in the cluster.
-        width = models[0].axes.shape[1]
+        width = next(iter(models.values())).axes.shape[1]
         add = [F.sum(F.col(c)[j]).alias(f"{c}_{j}") for c in ("first", "second") for j in range(width)]
         got = partial.groupBy("model", "component").agg(F.sum("mass").alias("mass"), F.sum("loglik").alias("loglik"), *add).toPandas()
-        for i, m in enumerate(models):
-            g = got[got["model"] == i].sort_values("component")
-            criterion = -2 * g["loglik"].sum() + m.parameters() * np.log(max(total, 2))
-            if step == STEPS - 1 and (least is None or criterion < least):
-                best, least = m, criterion
-            first, second = (g[[f"{c}_{j}" for j in range(width)]].to_numpy() for c in ("first", "second"))
-            models[i] = m.updated(g["mass"].to_numpy(), first, second)
         shared.unpersist()
-    return best
+        going = {}
+        for k, m in models.items():
+            g = got[got["model"] == k].sort_values("component")
+            loglik = float(g["loglik"].sum())
+            if k in last and _settled(last[k], loglik) or step == MAX_STEPS - 1:
+                done[k] = (m, -2 * loglik + m.parameters() * np.log(max(total, 2)))
+            else:
+                last[k] = loglik
+                first, second = (g[[f"{c}_{j}" for j in range(width)]].to_numpy() for c in ("first", "second"))
+                going[k] = m.updated(g["mass"].to_numpy(), first, second)
+        models = going
+        if not models:
+            break
+    return done
+
+
+def _on_sample(x: np.ndarray, k: int) -> Mixture:
+    """A start that has settled on the sample."""
+    m, before = start(x, k, FEATURES), None
+    f = m.features(x)
+    for _ in range(MAX_STEPS):
+        parts = [m.stats(f[lo : lo + _rows_at_once(k)]) for lo in range(0, len(f), _rows_at_once(k))]
+        mass, first, second, loglik = (sum(c) for c in zip(*parts))
+        if before is not None and _settled(before, loglik):
+            break
+        before = loglik
+        m = m.updated(mass, first, second)
+    return m
+
+
+def fit_mixture(vectors: DataFrame, total: int, dims: int = 128, candidates: tuple[int, ...] | None = None) -> Mixture:
+    """The mixture over all `vectors` whose number of components has the least information criterion.
+
+    Without `candidates`, numbers in proportion to the square root of the rows are tried first; while the least one is
+    at an end of those tried, the next half or double joins them, so the number chosen lies inside the range.
+    """
+    root = np.sqrt(total)
+    sample = unpack(bounded_sample(vectors.select("id", "v"), max(SAMPLE, int(SAMPLE_ROOTS * root)), total)["v"], dims).astype(np.float64)
+    limit = max(1, len(sample) // 2)
+    wave = {max(1, min(int(k), limit)) for k in candidates or (root * x for x in FIRST_TRIED)}
+    tried: dict[int, tuple[Mixture, float]] = {}
+    while wave:
+        tried |= _passes(vectors, {k: _on_sample(sample, k) for k in sorted(wave)}, total, dims)
+        ks = sorted(tried)
+        best = min(ks, key=lambda k: tried[k][1])
+        wave = set()
+        if not candidates and best == ks[-1] and best < limit:
+            wave = {min(limit, 2 * best)}
+        elif not candidates and best == ks[0] and best > 1:
+            wave = {best // 2}
+    return tried[best][0]
 
 
 def _rows_at_once(components: int) -> int:
@@ -237,9 +287,10 @@ def threshold_clusters(vectors: DataFrame, threshold: float = 0.70, dims: int =
 def _large_components(split: DataFrame, threshold: float, dims: int, task_rows: int) -> DataFrame:
     """Links inside components that are larger than a task, without comparing a hot cluster with itself.
 
-    Every part finds its local clusters. The first members of those that hold a twentieth of their part are compared
-    over all parts of a component; the largest cluster that results is the component's hot one, and its rows need no
-    comparison with each other any more. All other rows are compared with all rows, block by block.
+    Every part finds its local clusters. Of those that hold a twentieth of their part, the `SPEAKERS` heaviest of a component
+    speak for it: the cluster that they form is the component's hot one, and local clusters whose first member is near a
+    speaker join it. Hot rows need no comparison with each other any more. All other rows of the component are compared with all
+    its rows, block by block: that part is square in the rows of one component that are not hot.
     """
 
     def local(_key: tuple, b: pd.DataFrame) -> pd.DataFrame:
@@ -252,14 +303,30 @@ def _large_components(split: DataFrame, threshold: float, dims: int, task_rows:
     schema = "component int, part int, id string, v binary, root string, size long, is_large boolean"
     rows = cut_lineage(split.groupBy("component", "part").applyInPandas(local, schema))
 
-    def hot(_key: tuple, b: pd.DataFrame) -> pd.DataFrame:  # at most twenty rows of each part
+    # The first members of a component's heaviest local clusters speak for it: a fixed number of rows, however many parts.
+    heads = rows.where("is_large").select("component", "part", "id", "v", "size")
+    speakers = top_n_per_group(heads, ["component"], [F.desc("size")], SPEAKERS, ["id"], "nth").drop("nth")
+
+    def together(_key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("id", ignore_index=True)
         root = _local_components(unpack(b["v"], dims), threshold)
         weight = np.bincount(root, weights=b["size"], minlength=len(b))
-        return pd.DataFrame({"component": b["component"], "part": b["part"], "root": b["id"], "merged": b["id"].to_numpy()[root], "is_hot": root == weight.argmax()})
-
-    merged = cut_lineage(rows.where("is_large").groupBy("component").applyInPandas(hot, "component int, part int, root string, merged string, is_hot boolean"))
-    flagged = rows.join(merged.where("is_hot").select("component", "part", "root", "is_hot"), ["component", "part", "root"], "left")
+        return pd.DataFrame({"component": b["component"], "id": b["id"], "v": b["v"], "merged": b["id"].to_numpy()[root], "is_hot": root == weight.argmax()})
+
+    spoken = cut_lineage(speakers.groupBy("component").applyInPandas(together, "component int, id string, v binary, merged string, is_hot boolean"))
+    n_parts = rows.groupBy("component").agg((F.max("part") + 1).alias("parts"))
+    offered = spoken.join(n_parts, "component").select("component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "v", "merged", "is_hot")
+
+    def joined(_key: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(theirs):
+            return no_rows("component", "part", "root", "merged", "is_hot")
+        i, j = np.nonzero(unpack(mine["v"], dims) @ unpack(theirs["v"], dims).T >= threshold)
+        out = pd.DataFrame({"component": mine["component"].to_numpy()[i], "part": mine["part"].to_numpy()[i], "root": mine["id"].to_numpy()[i], "merged": theirs["merged"].to_numpy()[j], "is_hot": theirs["is_hot"].to_numpy()[j]})
+        return out.drop_duplicates()
+
+    keys = ["component", "part"]
+    merged = cut_lineage(heads.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInPandas(joined, "component int, part int, root string, merged string, is_hot boolean"))
+    flagged = rows.join(merged.where("is_hot").select("component", "part", "root", "is_hot").distinct(), ["component", "part", "root"], "left")
     flagged = cut_lineage(flagged.select("component", "part", "id", "v", F.coalesce("is_hot", F.lit(False)).alias("is_hot")))
     counts = flagged.groupBy("component").agg(F.count(F.when(~F.col("is_hot"), 1)).alias("others"), (F.max("part") + 1).alias("parts")).collect()
     table = split.sparkSession.createDataFrame([(int(r["component"]), max(1, -(-r["others"] // task_rows)), int(r["parts"])) for r in counts], "component int, chunks int, parts int")
@@ -314,3 +381,24 @@ def describe_components(vectors: DataFrame, topics: DataFrame, typical: int = 3,
     major = votes.groupBy("cluster_label").agg(F.max_by("topic", F.struct(F.col("n"), F.col("topic"))).alias("majority_topic"))
     sizes = home.groupBy("cluster_label").agg(F.count(F.lit(1)).alias("size"))
     return sizes.join(names, "cluster_label").join(major, "cluster_label", "left").select("cluster_label", "size", "majority_topic", "typical_members")
+
+
+def describe_mixture(vectors: DataFrame, topics: DataFrame, typical: int = 3, dims: int = 128) -> DataFrame:
+    """One row per component of the mixture: `cluster_label`, `cluster_label_k`, `size`, `cluster_majority_primary_topic`, `typical_members`.
+
+    Every vector belongs to its most responsible component; `cluster_label_k` is their chosen number. The typical members are those
+    of the highest density, equals by id. Components that are nobody's first choice give no row, nor does an empty table. A
+    component without a topic among its members has a null topic.
+    """
+    vectors = cut_lineage(vectors)
+    total = vectors.count()
+    if not total:
+        return vectors.sparkSession.createDataFrame([], "cluster_label int, cluster_label_k int, size long, cluster_majority_primary_topic string, typical_members string")
+    model = fit_mixture(vectors, total, dims)
+    home = cut_lineage(memberships(vectors, model, 1, dims).select("id", F.col("component").alias("cluster_label"), F.round("density", 6).alias("density")).join(vectors.select("id", "name"), "id"))
+    best = top_n_per_group(home, ["cluster_label"], [F.desc("density")], typical, ["id"], "nth")
+    names = best.groupBy("cluster_label").agg(F.concat_ws(" | ", F.transform(F.array_sort(F.collect_list(F.struct("nth", "name"))), lambda s: s["name"])).alias("typical_members"))
+    votes = home.join(topics, "id").where("topic is not null").groupBy("cluster_label", "topic").agg(F.count(F.lit(1)).alias("n"))
+    major = votes.groupBy("cluster_label").agg(F.max_by("topic", F.struct(F.col("n"), F.col("topic"))).alias("cluster_majority_primary_topic"))
+    sizes = home.groupBy("cluster_label").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.join(names, "cluster_label").join(major, "cluster_label", "left").select("cluster_label", F.lit(len(model.weights)).alias("cluster_label_k"), "size", "cluster_majority_primary_topic", "typical_members")

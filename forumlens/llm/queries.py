@@ -35,10 +35,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.cluster_rows(vectors.usable_vectors(table(spark, sf_dir, "embeddings_community")))
 
 
-def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "cluster_labels").where("primary_topic is not null and subreddit_id is not null")
-    topics = labels.groupBy(F.col("subreddit_id").alias("id")).agg(F.min(F.lower(F.trim("primary_topic"))).alias("topic"))
-    return mixture.describe_components(vectors.usable_vectors(table(spark, sf_dir, "embeddings_community")), topics)
+    return labels.groupBy(F.col("subreddit_id").alias("id")).agg(F.min(F.lower(F.trim("primary_topic"))).alias("topic"))
+
+
+def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.describe_components(vectors.usable_vectors(table(spark, sf_dir, "embeddings_community")), _topics(spark, sf_dir))
+
+
+def p2_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.describe_mixture(vectors.usable_vectors(table(spark, sf_dir, "embeddings_community")), _topics(spark, sf_dir))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,6 +158,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_consensus": p1_consensus,
         "p2_found": p2_found,
         "p2_clusters": p2_clusters,
+        "p2_components": p2_components,
         "p3_found": p3_found,
         "p3_segments": p3_segments,
         "p4_found": p4_found,

@@ -66,6 +66,30 @@ def test_em_does_not_lower_the_likelihood(cloud):
     assert logs[-1] >= logs[0]
 
 
+def test_the_fit_that_ships_has_settled_inside_its_range(spark, cloud, monkeypatch):
+    df = vectors.usable_vectors(spark.createDataFrame(rows_of(cloud), SCHEMA)).cache()
+    tried = {}
+    passes = mixture._passes
+    monkeypatch.setattr(mixture, "_passes", lambda v, models, *rest: tried.update(got := passes(v, models, *rest)) or got)
+    model = mixture.fit_mixture(df, len(cloud))
+    k = len(model.weights)
+    assert k == min(tried, key=lambda n: tried[n][1]) and (k == 1 or k > min(tried)) and k < max(tried)
+    x = vectors.unpack(df.toPandas()["v"]).astype(float)
+    f = model.features(x)
+    mass, first, second, now = model.stats(f)
+    further = model.updated(mass, first, second).stats(f)[3]
+    assert further - now <= 1e-3 * abs(now)
+
+
+def test_mixture_components_are_described_by_density(spark, cloud):
+    df = vectors.usable_vectors(spark.createDataFrame(rows_of(cloud), SCHEMA))
+    topics = df.selectExpr("id", "if(id < 't00200', 'pets', null) topic")
+    got = mixture.describe_mixture(df, topics).collect()
+    assert sum(r["size"] for r in got) == len(cloud) and len({r["cluster_label_k"] for r in got}) == 1 and len(got) <= got[0]["cluster_label_k"]
+    assert all(len(r["typical_members"].split(" | ")) == min(3, r["size"]) for r in got)
+    assert mixture.describe_mixture(df.limit(0), topics).count() == 0
+
+
 def test_components_are_described(spark, cloud):
     df = vectors.usable_vectors(spark.createDataFrame(rows_of(cloud), SCHEMA))
     topics = df.selectExpr("id", "if(id < 't00200', 'pets', null) topic")
