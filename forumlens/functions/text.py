@@ -13,7 +13,19 @@ from pyspark.sql import functions as F
 
 Passes = Sequence[tuple[str, str]]
 
+def _any(parts: dict[str, str]) -> str:
+    """One pattern for several kinds of noise."""
+    return "(?i)" + "|".join(parts.values())
+
+
+#: What carries no meaning in a text, by kind: of addresses, and of markup.
+_ADDRESS = {"scheme": r"https?://", "www": r"\bwww\d?\.", "page": r"\.html?\b", "domain": r"\.(?:com|org|net)\b", "index": r"/index\.\w{3,4}", "ruler": r"\n-{2,}"}
+_SYNTAX = {
+    "mention": r"\b[ru]/", "wiki": r"/?wiki/", "query": r"\?\w+=", "parameter": r"&\w+=", "escape": r"%[0-9A-F]{2}", "path": r"[#/_]+", "dashes": r"-{2,}", "tag": r"</?[a-z][^<>\n]*>",
+    "spoiler": r">!|!<",
+}
 _ENTITY = r"&#?[a-zA-Z0-9]{2,6};"
+_FLAIR_NOISE = {"marker": r"post[_ -]flair", "emote": r":\w+:", "domain": r"\.com\b", "quote": r"\"|\|", "bracket": r"[:_()\[\]/^*\\-]", "entity": _ENTITY}
 _LONG_ID = r"\b[0-9a-f]{8}-[0-9a-f-]{27}\b|\b[0-9a-f]{24,}\b|\b\d{5,}\b"
 _SPACES: Passes = [(r" {2,}", " "), (r"\n\s*\n\s*\n+", "\n\n")]
 
@@ -22,8 +34,8 @@ DOCUMENT: Passes = [
     (r"^[(\[](\w+(?:[ |/+&'.,:;-]+\w+){0,3})[)\]]", "$1, "),
     (r"!?\[([^\[\]\n]{1,80})\]\([^()\s]{3,200}(?:\s+[\"'][^\"'\n]*[\"'])?\)", "$1"),
     (_ENTITY + "|" + _LONG_ID, " "),
-    (r"(?i)https?://|\bwww\d?\.|\.html?\b|\.(?:com|org|net)\b|/index\.\w{3,4}|\n-{2,}", ""),
-    (r"(?i)\b[ru]/|/?wiki/|\?\w+=|&\w+=|%[0-9A-F]{2}|[#/_]+|-{2,}|</?[a-z][^<>\n]*>|>!|!<", " "),
+    (_any(_ADDRESS), ""),
+    (_any(_SYNTAX), " "),
     (r"[|()\[\]<>^~`*=\\]+|:-+:?|[.,!?]{4,}", " "),
     *_SPACES,
 ]
@@ -32,7 +44,7 @@ REPLY: Passes = [DOCUMENT[1], (DOCUMENT[3][0], " "), *DOCUMENT[4:]]
 #: Descriptions: hosts, entities, markup, spaces, blank lines.
 DESCRIPTION: Passes = [(DOCUMENT[3][0], ""), (_ENTITY + r"|[|()\[\]#/_]+", " "), (r"[*^~`>]+", ""), (r" {2,}", " "), (r"\n *\n *\n[ \n]*", "\n\n")]
 #: Flairs: markers, brackets and separators.
-FLAIR: Passes = [(r"(?i)\"|\||\.com\b|:\w+:|post[_ -]flair|[:_()\[\]/^*\\-]|" + _ENTITY, " "), (r"- ", " "), (r"\s{2,}", " ")]
+FLAIR: Passes = [(_any(_FLAIR_NOISE), " "), (r"- ", " "), (r"\s{2,}", " ")]
 #: Text read from images.
 OCR: Passes = [(r"(?i)https?://\S+|www\.\S+", " "), (r"[|()\[\]<>^~`*=_\\]+|\d{5,}", " "), (r" {2,}", " ")]
 #: Link paths: parameters, slashes, ids, separators.
@@ -144,14 +156,18 @@ def linked_names(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?i)\br/(\w{2,21})"), 1), lambda x: F.lower(x))
 
 
-_PUNCT = r"!-/:-@\[-`{-~"
-#: Tokenizers by name: Unicode-aware patterns, or plain splitting at white space.
-TOKENIZERS = {
-    "words": r"(?U)\b\w\w+\b",
-    "words_acronyms": r"(?U)\b\w\w+\b|\b\w\.\w\.\w|\b\w\.\w",
-    "words_emoji": r"(?U)\b\w\w+\b|[^\w\s" + _PUNCT + "]",
-    "words_acronyms_emoji": r"(?U)\b\w\w+\b|\b\w\.\w\.\w|\b\w\.\w|[^\w\s" + _PUNCT + "]",
-}
+#: Parts that tokenizers are composed of, in classes that regular-expression engines agree on.
+_LETTER, _SIGN = r"\p{L}\p{M}\p{N}_", r"\p{Z}\s!-/:-@\[-`{-~"
+_WORD, _SYMBOL, _PLAIN = f"[{_LETTER}]{{2,}}", f"[^{_LETTER}{_SIGN}]", r"[\p{L}\p{M}]{2,}"
+_ACRONYM = r"(?U)\b\w(?:\.\w){1,2}"
+#: Tokenizers by name: words; also one- to three-letter acronyms with points; also symbols such as emoji; letters only.
+TOKENIZERS = {"words": _WORD, "words_acronyms": f"(?U)\\b\\w\\w+\\b|{_ACRONYM}", "words_emoji": f"{_WORD}|{_SYMBOL}", "words_acronyms_emoji": f"(?U)\\b\\w\\w+\\b|{_ACRONYM}|{_SYMBOL}", "letters": _PLAIN}
+#: Those whose patterns another SQL engine understands too.
+SQL_TOKENIZERS = ("words", "words_emoji", "letters")
+
+
+def tokens_sql(column: str, tokenizer: str) -> str:
+    return f"regexp_extract_all(lower({column}), '{TOKENIZERS[tokenizer]}')"
 
 
 def tokens(c: Column, tokenizer: str = "words", lower: bool = True, drop_digits: bool = False) -> Column:
@@ -165,7 +181,7 @@ def tokens(c: Column, tokenizer: str = "words", lower: bool = True, drop_digits:
 
 def normalised_words(c: Column, ascii_only: bool = False) -> Column:
     """Lower-case words with punctuation as space and no empty words."""
-    pattern = r"[^a-z0-9]+" if ascii_only else r"(?U)[^\w]+"
+    pattern = r"[^a-z0-9]+" if ascii_only else r"[^\p{L}\p{M}\p{N}]+"
     return F.filter(F.split(F.regexp_replace(F.lower(c), pattern, " "), " "), lambda s: s != "")
 
 

@@ -84,7 +84,7 @@ def angular_to_cosine(d: Column) -> Column:
 def cosine_topk(df: DataFrame, key: str, vector: str, k: int, queries: Column | None = None, block: int = BLOCK) -> DataFrame:
     """`id_a`, `id_b`, `cosine_similarity`, `distance_rank`: the `k` most similar others of every row (or every row of `queries`).
 
-    Exact. Rows are cut into blocks by hash; a task multiplies one block of queries with one block of rows and keeps k
+    Exact. Queries that fit one block are sent to all rows, which are scanned once where they lie. Otherwise rows are cut into blocks by hash; a task multiplies one block of queries with one block of rows and keeps k
     per query, so what is shuffled is rows times blocks and never the square matrix. Ties rank by id. Null vectors
     neither ask nor answer; an all-zero vector has similarity 0 to everything.
     """
@@ -93,12 +93,8 @@ def cosine_topk(df: DataFrame, key: str, vector: str, k: int, queries: Column |
     )
     base = cut_lineage(base)
     key_type = base.schema["id"].dataType.simpleString()
-    blocks = max(1, -(-base.count() // block))
-    placed = base.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asking = placed.where("asks").select(F.col("b").alias("qb"), every.alias("rb"), "id", "v")
-    offered = placed.select(every.alias("qb"), F.col("b").alias("rb"), "id", "v")
-
+    schema = f"id_a {key_type}, id_b {key_type}, cosine_similarity double"
+    order = Window.partitionBy("id_a").orderBy(F.desc("cosine_similarity"), F.asc("id_b"))
     def unit(column: pd.Series) -> np.ndarray:
         x = np.stack(column.to_numpy()).astype(np.float64)
         n = np.linalg.norm(x, axis=1, keepdims=True)
@@ -119,27 +115,42 @@ def cosine_topk(df: DataFrame, key: str, vector: str, k: int, queries: Column |
             out.append(pd.DataFrame({"id_a": qi[lo + i], "id_b": ri[j], "cosine_similarity": s[i, j]}))
         return pd.concat(out)
 
-    schema = f"id_a {key_type}, id_b {key_type}, cosine_similarity double"
+    few = base.where("asks").limit(block + 1).select("id", "v").toPandas() if queries is not None else None
+    if few is not None and len(few) <= block:
+        sent = base.sparkSession.sparkContext.broadcast(few)  # at most one block
+
+        def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield compare((), sent.value, b)
+
+        found = base.select("id", "v").mapInPandas(meet, schema)
+        return found.withColumn("distance_rank", F.row_number().over(order)).where(F.col("distance_rank") <= k)
+    blocks = max(1, -(-base.count() // block))
+    placed = base.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asking = placed.where("asks").select(F.col("b").alias("qb"), every.alias("rb"), "id", "v")
+    offered = placed.select(every.alias("qb"), F.col("b").alias("rb"), "id", "v")
+
     found = asking.groupBy("qb", "rb").cogroup(offered.groupBy("qb", "rb")).applyInPandas(compare, schema)
-    order = Window.partitionBy("id_a").orderBy(F.desc("cosine_similarity"), F.asc("id_b"))
     return found.withColumn("distance_rank", F.row_number().over(order)).where(F.col("distance_rank") <= k)
 
 
 def batches_of(df: DataFrame, encode, text: str, key: str, dims: int, batch: int = 256) -> DataFrame:
-    """`key`, `vector`: runs an encoder (a function from texts to a matrix) over batches; a batch that fails is halved.
+    """`key`, `vector`, `chars`: runs an encoder (a function from texts to a matrix) over batches; a batch that fails is halved.
 
-    A single text that fails even alone is tried with half its length, down to nothing; then its vector is null. Null
-    texts get null vectors.
+    A single text that fails even alone is tried with half its length, down to nothing; then its vector is null. `chars`
+    says how many of the text's characters the vector stands for, so a shortened text is told from a whole one. Null texts
+    get null vectors and null `chars`.
     """
 
     def safe(texts: list[str]) -> list:
         try:
-            return list(np.asarray(encode(texts), dtype=np.float32))
+            return [(v, len(t)) for v, t in zip(np.asarray(encode(texts), dtype=np.float32), texts)]
         except (MemoryError, ValueError):
             if len(texts) > 1:
                 half = len(texts) // 2
                 return safe(texts[:half]) + safe(texts[half:])
-            return safe([texts[0][: len(texts[0]) // 2]]) if texts[0] else [None]
+            return safe([texts[0][: len(texts[0]) // 2]]) if texts[0] else [(None, 0)]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -147,12 +158,13 @@ def batches_of(df: DataFrame, encode, text: str, key: str, dims: int, batch: int
                 b = p.iloc[lo : lo + batch]
                 there = b[text].notna().to_numpy()
                 vectors: list = [None] * len(b)
+                chars: list = [None] * len(b)
                 for at, v in zip(np.nonzero(there)[0], safe([t for t in b[text] if t is not None]) if there.any() else []):
-                    vectors[at] = v
-                yield pd.DataFrame({key: b[key], "vector": vectors})
+                    vectors[at], chars[at] = v
+                yield pd.DataFrame({key: b[key], "vector": vectors, "chars": pd.Series(chars, dtype="Int32").to_numpy(dtype=object)})
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInPandas(run, f"{key} {kind}, vector array<float>")
+    return df.select(key, text).mapInPandas(run, f"{key} {kind}, vector array<float>, chars int")
 
 
 def hashed_encoder(dims: int = 64):

@@ -10,9 +10,9 @@ from forumlens.operators import vectors as V
 from .registry import Tables, query
 
 
-@query("J1_inner_join", "select o_orderkey, c_name from orders join customer on c_custkey = o_custkey where o_orderstatus = 'P'")
+@query("J1_inner_join", "select o_orderkey, c_name from orders join customer on c_custkey = o_custkey")
 def j1(t: Tables):
-    return t.orders.where("o_orderstatus = 'P'").join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
+    return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
 
 
 @query("J2_left_join", "select c_custkey, coalesce(n, 0)::bigint as orders from customer left join (select o_custkey, count(*) as n from orders group by 1) on o_custkey = c_custkey")
@@ -23,14 +23,14 @@ def j2(t: Tables):
 
 @query(
     "J3_full_outer_three",
-    "select coalesce(a.k, b.k, c.k) as k, customers, suppliers, late from (select c_nationkey as k, count(*) as customers from customer where c_acctbal > 9000 group by 1) a"
-    " full join (select s_nationkey as k, count(*) as suppliers from supplier where s_acctbal > 5000 group by 1) b on a.k = b.k"
-    " full join (select n_nationkey as k, 1::bigint as late from nation where n_nationkey > 20) c on coalesce(a.k, b.k) = c.k",
+    "select coalesce(a.k, b.k, c.k) as k, customers, suppliers, late from (select c_nationkey as k, count(*) as customers from customer group by 1) a"
+    " full join (select s_nationkey as k, count(*) as suppliers from supplier group by 1) b on a.k = b.k"
+    " full join (select n_nationkey as k, 1::bigint as late from nation) c on coalesce(a.k, b.k) = c.k",
 )
 def j3(t: Tables):
-    a = t.customer.where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("customers"))
-    b = t.supplier.where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("suppliers"))
-    c = t.nation.where("n_nationkey > 20").select(F.col("n_nationkey").alias("k"), F.lit(1).cast("bigint").alias("late"))
+    a = t.customer.groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("customers"))
+    b = t.supplier.groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("suppliers"))
+    c = t.nation.select(F.col("n_nationkey").alias("k"), F.lit(1).cast("bigint").alias("late"))
     return R.full_outer(R.full_outer(a, b, ["k"]), c, ["k"])
 
 
@@ -139,9 +139,9 @@ def j17(t: Tables):
     return t.nation.join(F.broadcast(t.region.withColumnRenamed("r_regionkey", "n_regionkey")), "n_regionkey").select("n_name", "r_name")
 
 
-@query("J18_index_merge", "select l_orderkey, l_linenumber, o_orderstatus from lineitem join orders on o_orderkey = l_orderkey where l_quantity > 48")
+@query("J18_index_merge", "select l_orderkey, l_linenumber, o_orderstatus from lineitem join orders on o_orderkey = l_orderkey")
 def j18(t: Tables):
-    return t.lineitem.where("l_quantity > 48").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_orderstatus")
+    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_orderstatus")
 
 
 @query("J19_lookup_join", "select d.doc_id, l.language_name from documents d left join language_lookup l on l.language_code = d.lang")

@@ -65,9 +65,9 @@ def y9(t: Tables):
     return best.select("id_a", "id_b", F.round("cosine_similarity", 4).alias("c"))
 
 
-@query("Y10_list_to_string", "select event_type, string_agg(user_id::varchar, ' | ' order by user_id) as users from (select distinct event_type, user_id from events where value > 50) group by 1")
+@query("Y10_list_to_string", "select event_type, string_agg(user_id::varchar, ' | ' order by user_id) as users from (select distinct event_type, user_id from events) group by 1")
 def y10(t: Tables):
-    ids = t.events.where("value > 50").groupBy("event_type").agg(F.array_sort(F.collect_set("user_id")).alias("ids"))
+    ids = t.events.groupBy("event_type").agg(F.array_sort(F.collect_set("user_id")).alias("ids"))
     return ids.select("event_type", F.array_join(F.transform("ids", lambda x: x.cast("string")), " | ").alias("users"))
 
 
@@ -99,6 +99,12 @@ def u4(t: Tables):
     return V.batches_of(t.documents, V.hashed_encoder(32), "text", "doc_id", 32)
 
 
+@query("U4b_encoded_characters", "select doc_id, length(text)::int as chars, text is not null as has_vector from documents")
+def u4b(t: Tables):
+    encoded = V.batches_of(t.documents, V.hashed_encoder(32), "text", "doc_id", 32)
+    return encoded.select("doc_id", "chars", (F.size("vector") == 32).alias("has_vector")).fillna({"has_vector": False})
+
+
 @query("U5_batch_scoring", "select p_partkey, round(1 / (1 + exp(-(0.05::double * p_size - 0.001::double * p_retailprice))), 6) as p from part")
 def u5(t: Tables):
     weights = t.spark.sparkContext.broadcast((0.05, -0.001))
@@ -113,17 +119,28 @@ def u5(t: Tables):
     return t.part.select("p_partkey", F.round(score("p_size", "p_retailprice"), 6).alias("p"))
 
 
-@query("U6_registry_function")
+@query("U6_registry_function", "select doc_id, " + ", ".join(f"array_to_string({X.tokens_sql('text', n)}, ' ') as {n}" for n in X.SQL_TOKENIZERS) + " from documents")
 def u6(t: Tables):
-    return t.documents.select("doc_id", F.array_join(X.tokens(F.col("text"), "words_acronyms"), " ").alias("tokens"))
+    return t.documents.select("doc_id", *(F.array_join(X.tokens(F.col("text"), n), " ").alias(n) for n in X.SQL_TOKENIZERS))
 
 
 @query("U7_parallel_map", "select s_nationkey, max(s_acctbal) as best from supplier group by 1")
 def u7(t: Tables):
-    def best(_key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        return g.nlargest(1, "s_acctbal")[["s_nationkey", "s_acctbal"]].rename(columns={"s_acctbal": "best"})
+    return t.supplier.groupBy("s_nationkey").agg(F.max("s_acctbal").alias("best"))
+
+
+@query("U7b_parallel_python_map", "select doc_id, length(text)::int as chars from documents where text is not null")
+def u7b(t: Tables):
+    """A function that only Python has (Unicode normal forms), over Arrow batches; what comes out is checked by its length."""
+    import unicodedata
+    from collections.abc import Iterator
+
+    def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            back = [unicodedata.normalize("NFC", unicodedata.normalize("NFD", x)) == unicodedata.normalize("NFC", x) for x in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "chars": [len(x) if same else -1 for x, same in zip(b["text"], back)]})
 
-    return t.supplier.groupBy("s_nationkey").applyInPandas(best, "s_nationkey int, best double")
+    return t.documents.where("text is not null").select("doc_id", "text").mapInPandas(forms, "doc_id long, chars int")
 
 
 @query("U8_configured_pipeline", "select vec_id, round(sqrt(list_sum([x::double * x::double for x in embedding])), 4) as before, 1.0::double as after from embeddings")

@@ -97,10 +97,10 @@ def x16(t: Tables):
     return t.documents.select("doc_id", X.clean_flair(F.col("source")).alias("clean"))
 
 
-@query("X17_clean_ocr", f"select post_id, {X.as_sql('a', X.OCR)} as clean from (select post_id, string_agg(trim(text), chr(10) order by created_timestamp nulls first, doc_id) as a from documents where text is not null group by 1)")
+@query("X17_clean_ocr", f"select post_id, {X.as_sql('a', X.OCR)} as clean from (select post_id, string_agg(trim(text), chr(10) order by created_timestamp nulls first, doc_id) as a from documents where text is not null and post_id is not null group by 1)")
 def x17(t: Tables):
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col("created_timestamp").isNotNull().alias("late"), "created_timestamp", "doc_id", F.trim("text").alias("s")))), lambda r: r["s"])
-    joined = t.documents.where("text is not null").groupBy("post_id").agg(F.array_join(ordered, "\n").alias("a"))
+    joined = t.documents.where("text is not null and post_id is not null").groupBy("post_id").agg(F.array_join(ordered, "\n").alias("a"))
     return joined.select("post_id", X.cleaned(F.col("a"), X.OCR).alias("clean"))
 
 
@@ -165,9 +165,14 @@ def x24(t: Tables):
     return t.part.select("p_partkey", F.array_join(F.array_sort(F.array_distinct(words)), " ").alias("themes"))
 
 
-@query("X25_tokenizers")
+@query("X25_tokenizers", "select doc_id, " + ", ".join(f"len({X.tokens_sql('text', n)})::int as {n}" for n in X.SQL_TOKENIZERS) + " from documents where text is not null")
 def x25(t: Tables):
-    return t.documents.select("doc_id", *(F.size(X.tokens(F.col("text"), n)).alias(n) for n in (*X.TOKENIZERS, "split")))
+    return t.documents.where("text is not null").select("doc_id", *(F.size(X.tokens(F.col("text"), n)).alias(n) for n in X.SQL_TOKENIZERS))
+
+
+@query("X25b_acronym_tokenizers")
+def x25b(t: Tables):
+    return t.documents.select("doc_id", *(F.size(X.tokens(F.col("text"), n)).alias(n) for n in ("words_acronyms", "words_acronyms_emoji", "split")))
 
 
 @query("X26_preprocessor", "select doc_id, len([x for x in regexp_split_to_array(regexp_replace(lower(text), '[0-9]', '', 'g'), '[ \\n\\t\\r\\f\\v]+') if x <> ''])::int as words from documents where text is not null")
