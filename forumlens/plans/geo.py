@@ -1,7 +1,6 @@
 """Where a community is relevant (Q1 to Q6): country names, candidates, shares, standard scores, selection.
 
-The driver's tables give the roles: `customer.c_mktsegment` is the community, its nation the country, its orders the
-activity; user is the customer.
+Activity is `comment_language_v2`: community, user and country of every post and comment. Country names (Q1) come from the nations.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from forumlens.functions import scalars as S
 from forumlens.operators import relational as R
 
+from .clusters import _LAB, labelled
 from .registry import Tables, query
 
 
@@ -55,13 +55,13 @@ def selected_countries(standard: DataFrame, least_share: float, least_z: float)
 
 
 def pairs_of(t: Tables) -> DataFrame:
-    named = F.broadcast(t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("country")))
-    return t.customer.join(named, "c_nationkey").select(F.col("c_mktsegment").alias("community"), "country", F.col("c_custkey").alias("user_id"))
+    rows = t.comment_language_v2.where("subreddit_id is not null and geolocation_country_code is not null and user_id is not null")
+    return rows.select(F.col("subreddit_id").alias("community"), F.upper(F.trim("geolocation_country_code")).alias("country"), "user_id")
 
 
 _RAW = (
     "(select community, country, users, users / sum(users) over (partition by community) as share_of_community, users / sum(users) over (partition by country) as share_of_country from"
-    " (select c_mktsegment as community, n_name as country, count(distinct c_custkey) as users from customer join nation on n_nationkey = c_nationkey group by 1, 2))"
+    " (select subreddit_id as community, upper(trim(geolocation_country_code)) as country, count(distinct user_id) as users from comment_language_v2 where subreddit_id is not null and geolocation_country_code is not null and user_id is not null group by 1, 2))"
 )
 _STD = (
     f"(select *, 0.8::double * share_of_community + 0.2::double * case when z > 5 then 1 when z > 0 then z / 5 else 0 end as score from (select *, case when coalesce(stddev_samp(share_of_country) over w, 0) = 0 then 0.5 else"
@@ -114,11 +114,24 @@ def q6(t: Tables):
     return selected_countries(relevance_standardised(relevance_raw(pairs_of(t))), 0.05, 1.0)
 
 
-@query("Q28_relevant_with_clusters", f"select s.country, c.cluster_label, count(*) as rows from {_STD} s join cluster_labels c on c.model_sort_order % 5 = length(s.community) % 5 where s.country = 'NATION_3' and (s.share_of_community >= 0.01) group by 1, 2")
+def relevant_with_clusters(standard: DataFrame, flags: DataFrame, labels: DataFrame, country: str, least_share: float = 0.01, least_z: float = 1.0) -> DataFrame:
+    """Communities relevant to `country` with their score, flag and cluster path; communities without a label are kept.
+
+    `standard` comes from `relevance_standardised`; `flags` has `community`, `flag`; `labels` has `community`, `cluster`.
+    """
+    kept = standard.where(F.col("country") == country).where((F.col("share_of_community") >= least_share) | (F.col("z") >= least_z))
+    return kept.join(flags, "community", "left").join(labels, "community", "left").select("country", "community", "users", "score", "z", "flag", "cluster")
+
+
+@query(
+    "Q28_relevant_with_clusters",
+    f"select s.country, s.community, s.users, round(s.score, 5) as score, round(s.z, 5) as z, f.flag, l.path1 as cluster from {_STD} s left join (select subreddit_id as community, max(is_seed::int) = 1 as flag from embeddings_community where subreddit_id is not null group by 1) f on f.community = s.community left join {_LAB} l on l.subreddit_id = s.community where s.country = 'DE' and (s.share_of_community >= 0.01 or s.z >= 1)",
+)
 def q28(t: Tables):
-    std = relevance_standardised(relevance_raw(pairs_of(t))).where("country = 'NATION_3' and share_of_community >= 0.01").withColumn("slot", F.length("community") % 5)
-    labels = t.cluster_labels.withColumn("slot", F.col("model_sort_order") % 5)
-    return std.join(labels, "slot").groupBy("country", "cluster_label").agg(F.count(F.lit(1)).alias("rows"))
+    flags = t.embeddings_community.where("subreddit_id is not null").groupBy(F.col("subreddit_id").alias("community")).agg(F.max("is_seed").alias("flag"))
+    labels = labelled(t).select(F.col("subreddit_id").alias("community"), F.col("path1").alias("cluster"))
+    found = relevant_with_clusters(relevance_standardised(relevance_raw(pairs_of(t))), flags, labels, "DE")
+    return found.withColumns({"score": F.round("score", 5), "z": F.round("z", 5)})
 
 
 @query(

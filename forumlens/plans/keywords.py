@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from forumlens.functions import text as X
 from forumlens.operators import relational as R
 
+from .clusters import _LAB, labelled
 from .registry import Tables, query
 
 
@@ -24,33 +25,71 @@ def tfidf_bm25(counts: DataFrame, k1: float = 24.0, b: float = 0.5) -> DataFrame
     tf is the share of the community's grams; idf = ln(N / df); idf_prob = ln(1 + (N - df + 0.5) / (df + 0.5)); bm25 is
     idf_prob * n / (n + k1 * (1 - b + b * length / average length)), without the usual factor k1 + 1.
     """
-    length = counts.withColumn("length", F.sum("n").over(Window.partitionBy("community"))).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("gram")))
-    totals = counts.groupBy("community").agg(F.sum("n").alias("l")).agg(F.avg("l").alias("average"), F.count(F.lit(1)).alias("communities"))  # one row
-    rows = length.join(F.broadcast(totals), F.lit(True))
+    lengths = counts.groupBy("community").agg(F.sum("n").alias("length"))
+    found_in = counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    totals = lengths.agg(F.avg("length").alias("average"), F.count(F.lit(1)).alias("communities"))  # one row
+    rows = counts.join(lengths, "community").join(found_in, "gram").join(F.broadcast(totals), F.lit(True))
     c = F.col
     rows = rows.withColumns({"tf": c("n") / c("length"), "idf": F.log(c("communities") / c("df")), "idf_prob": F.log(1 + (c("communities") - c("df") + 0.5) / (c("df") + 0.5))})
     damped = c("n") / (c("n") + k1 * (1 - b + b * c("length") / c("average")))
     return rows.select("community", "gram", "n", "df", "tf", "idf", "idf_prob", (c("tf") * c("idf")).alias("tfidf"), (c("idf_prob") * damped).alias("bm25"))
 
 
+#: A gram's average rank may be at most this to count as a keyword.
+MOST_RANK = 200
+
+
+def ranked_keywords(weights: DataFrame, keep: int, most: int = MOST_RANK) -> DataFrame:
+    """The `keep` grams of each community with the least average of their ranks by tfidf and by bm25, with `r1`, `r2`, `fused`, `rank`.
+
+    An average of at most `most` needs both ranks below twice that, so each ranking is limited on the map side and no
+    task sorts all grams of a community.
+    """
+    exact = weights.withColumns({"exact1": F.round("tfidf", 9), "exact2": F.round("bm25", 9)})
+    first = R.top_n(exact, ["community"], [F.desc("exact1"), F.asc("gram")], 2 * most, "r1").select("community", "gram", "tfidf", "bm25", "r1")
+    second = R.top_n(exact, ["community"], [F.desc("exact2"), F.asc("gram")], 2 * most, "r2").select("community", "gram", "r2")
+    fused = first.join(second, ["community", "gram"]).withColumn("fused", (F.col("r1") + F.col("r2")) / 2).where(F.col("fused") <= most)
+    return R.top_n(fused, ["community"], [F.asc("fused"), F.asc("gram")], keep)
+
+
 def top_keywords(weights: DataFrame, keep: int = 9, separator: str = ", ") -> DataFrame:
     """`community`, `keywords`: the grams with the best average of the two ranks."""
-    rank = lambda c: F.row_number().over(Window.partitionBy("community").orderBy(F.desc(F.round(c, 9)), "gram"))
-    ranked = weights.withColumns({"r1": rank("tfidf"), "r2": rank("bm25")}).withColumn("fused", (F.col("r1") + F.col("r2")) / 2)
-    top = R.top_n(ranked, ["community"], [F.asc("fused"), F.asc("gram")], keep)
+    top = ranked_keywords(weights, keep)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "gram"))), lambda s: s["gram"])
     return top.groupBy("community").agg(F.array_join(ordered, separator).alias("keywords"))
 
 
-def english(t: Tables, community: str = "source") -> DataFrame:
-    return t.documents.where("lang = 'en'").select(F.col(community).alias("community"), "text")
+def texts_of(t: Tables) -> dict[str, DataFrame]:
+    """`community`, `text` of the four kinds of text: documents, titles, replies and names."""
+    named = lambda df, text: df.where("subreddit_id is not null").select(F.col("subreddit_id").alias("community"), F.col(text).alias("text"))
+    return {
+        "documents": named(t.documents, "text"), "titles": named(t.post_language_detection_cld3_clean, "post_title"), "replies": named(t.comment_language_detection_cld3_clean, "comment_body_text"),
+        "names": named(t.documents.select("subreddit_id", F.regexp_replace("subreddit_name", "[_-]", " ").alias("name")), "name"),
+    }
+
+
+def clustered_texts(t: Tables) -> DataFrame:
+    """Documents under the cluster of their community."""
+    return texts_of(t)["documents"].withColumnRenamed("community", "subreddit_id").join(labelled(t).select("subreddit_id", "path1"), "subreddit_id").select(F.col("path1").alias("community"), "text")
 
 
-def _grams_sql(community: str, least: int, top: int) -> str:
-    words = "[x for x in split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ') if x <> '']"
+def weights_of(texts: DataFrame, least: int, most: int) -> DataFrame:
+    return tfidf_bm25(ngram_counts(texts, least, sizes=(1, most)).select("community", "gram", "n"))
+
+
+_SOURCES = {
+    "documents": "(select subreddit_id as community, text from documents where subreddit_id is not null)", "titles": "(select subreddit_id as community, post_title as text from post_language_detection_cld3_clean where subreddit_id is not null)",
+    "replies": "(select subreddit_id as community, comment_body_text as text from comment_language_detection_cld3_clean where subreddit_id is not null)",
+    "names": "(select subreddit_id as community, regexp_replace(subreddit_name, '[_-]', ' ', 'g') as text from documents where subreddit_id is not null)",
+    "clusters": f"(select path1 as community, text from documents d join {_LAB} l on l.subreddit_id = d.subreddit_id)",
+}
+
+
+def _grams_sql(source: str, least: int, top: int) -> str:
+    words = "[x for x in split(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g'), ' ') if x <> '']"
     sizes = ", ".join(f"({k})" for k in range(1, top + 1))
     return (
-        f"(with w as (select {community} as community, {words} as w from documents where lang = 'en' and text is not null), g as (select community, w, k, unnest(generate_series(1, len(w) - k + 1)) as i from w, (values {sizes}) s(k))"
+        f"(with w as (select community, {words} as w from {_SOURCES[source]} where text is not null), g as (select community, w, k, unnest(generate_series(1, len(w) - k + 1)) as i from w, (values {sizes}) s(k))"
         f" select community, array_to_string(w[i:i + k - 1], ' ') as gram, k as size, count(*) as n from g group by 1, 2, 3 having count(*) >= {least})"
     )
 
@@ -66,34 +105,41 @@ def _weights_sql(community: str, least: int, top: int) -> str:
 def _keywords_sql(community: str, least: int, top: int, keep: int) -> str:
     return (
         f"(with w as {_weights_sql(community, least, top)}, r as (select *, row_number() over (partition by community order by round(tfidf, 9) desc, gram) as r1, row_number() over (partition by community order by round(bm25, 9) desc, gram) as r2 from w),"
-        f" f as (select *, row_number() over (partition by community order by (r1 + r2) / 2, gram) as rank from r) select community, string_agg(gram, ', ' order by rank) as keywords from f where rank <= {keep} group by 1)"
+        f" f as (select *, row_number() over (partition by community order by (r1 + r2) / 2, gram) as rank from r where (r1 + r2) / 2 <= 200) select community, string_agg(gram, ', ' order by rank) as keywords from f where rank <= {keep} group by 1)"
     )
 
 
-@query("Q14_ngram_counts", f"select community, gram, n, size::int as size from {_grams_sql('source', 3, 3)}")
+@query("Q14_ngram_counts", f"select community, gram, n, size::int as size from {_grams_sql('documents', 3, 3)}")
 def q14(t: Tables):
-    return ngram_counts(english(t), 3, ascii_only=True)
+    return ngram_counts(texts_of(t)["documents"], 3)
 
 
-@query("Q15_tfidf_bm25", "select community, gram, n, df, " + ", ".join(f"round({c}, 6) as {c}" for c in ("tf", "idf", "idf_prob", "tfidf", "bm25")) + f" from {_weights_sql('source', 3, 2)}")
+@query("Q15_tfidf_bm25", "select community, gram, n, df, " + ", ".join(f"round({c}, 6) as {c}" for c in ("tf", "idf", "idf_prob", "tfidf", "bm25")) + f" from {_weights_sql('documents', 3, 2)}")
 def q15(t: Tables):
-    w = tfidf_bm25(ngram_counts(english(t), 3, True, (1, 2)).select("community", "gram", "n"))
-    return w.withColumns({c: F.round(c, 6) for c in ("tf", "idf", "idf_prob", "tfidf", "bm25")})
+    return weights_of(texts_of(t)["documents"], 3, 2).withColumns({c: F.round(c, 6) for c in ("tf", "idf", "idf_prob", "tfidf", "bm25")})
+
+
+@query(
+    "Q15b_ranked_keywords",
+    f"with w as {_weights_sql('documents', 3, 2)}, r as (select *, row_number() over (partition by community order by round(tfidf, 9) desc, gram)::int as r1, row_number() over (partition by community order by round(bm25, 9) desc, gram)::int as r2 from w) select community, gram, r1, r2, (r1 + r2) / 2 as fused from r where (r1 + r2) / 2 <= 200 qualify row_number() over (partition by community order by (r1 + r2) / 2, gram) <= 200",
+)
+def q15b(t: Tables):
+    return ranked_keywords(weights_of(texts_of(t)["documents"], 3, 2), MOST_RANK).select("community", "gram", "r1", "r2", "fused")
 
 
-@query("Q16_cluster_keywords", f"select * from {_keywords_sql('post_type', 3, 1, 9)} where community is not null")
+@query("Q16_cluster_keywords", f"select * from {_keywords_sql('clusters', 3, 2, 9)} where community is not null")
 def q16(t: Tables):
-    counts = ngram_counts(english(t, "post_type"), 3, True, (1, 1)).select("community", "gram", "n")
-    return top_keywords(tfidf_bm25(counts)).where("community is not null")
+    return top_keywords(weights_of(clustered_texts(t), 3, 2))
 
 
 @query(
     "Q17_bm25_keyphrases",
-    f"with a as (select 'documents' as kind, * from {_weights_sql('source', 4, 1)} union all select 'types', * from {_weights_sql('post_type', 4, 1)}) select kind, community, gram, round(bm25, 5) as bm25 from a qualify row_number() over (partition by kind, community order by round(bm25, 9) desc, gram) <= 5",
+    "with a as (" + " union all ".join(f"select '{kind}' as kind, * from {_weights_sql(kind, 3, 2)}" for kind in ("documents", "titles", "replies", "names"))
+    + ") select kind, community, gram, round(bm25, 5) as bm25 from a qualify row_number() over (partition by kind, community order by round(bm25, 9) desc, gram) <= 5",
 )
 def q17(t: Tables):
-    lane = lambda kind, key: tfidf_bm25(ngram_counts(english(t, key), 4, True, (1, 1)).select("community", "gram", "n")).withColumn("kind", F.lit(kind))
-    every = lane("documents", "source").unionByName(lane("types", "post_type")).withColumn("exact", F.round("bm25", 9))
+    lanes = [weights_of(texts, 3, 2).withColumn("kind", F.lit(kind)) for kind, texts in texts_of(t).items()]
+    every = lanes[0].unionByName(lanes[1]).unionByName(lanes[2]).unionByName(lanes[3]).withColumn("exact", F.round("bm25", 9))
     return R.top_n(every, ["kind", "community"], [F.desc("exact"), F.asc("gram")], 5).select("kind", "community", "gram", F.round("bm25", 5).alias("bm25"))
 
 
@@ -125,8 +171,8 @@ def q53(t: Tables):
     return top.groupBy("cluster", "market").agg(F.array_join(names, ", ").alias("top"), F.max("total").alias("posts"))
 
 
-@query("Q56_labels_with_keywords", f"select d.source, d.n, k.keywords from (select source, count(*) as n from documents group by 1) d left join {_keywords_sql('source', 3, 1, 5)} k on k.community = d.source")
+@query("Q56_labels_with_keywords", f"select d.subreddit_id, d.n, k.keywords from (select subreddit_id, count(*) as n from documents where subreddit_id is not null group by 1) d left join {_keywords_sql('documents', 3, 1, 5)} k on k.community = d.subreddit_id")
 def q56(t: Tables):
-    keywords = top_keywords(tfidf_bm25(ngram_counts(english(t), 3, True, (1, 1)).select("community", "gram", "n")), 5)
-    counts = t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(keywords, F.col("source") == F.col("community"), "left").select("source", "n", "keywords")
+    keywords = top_keywords(weights_of(texts_of(t)["documents"], 3, 1), 5)
+    counts = t.documents.where("subreddit_id is not null").groupBy("subreddit_id").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(keywords, F.col("subreddit_id") == F.col("community"), "left").select("subreddit_id", "n", "keywords")

@@ -143,7 +143,21 @@ def v10(t: Tables):
 
     rows = t.embeddings.select("vec_id", array_to_vector("embedding").alias("features"))
     done = pipeline([("reduce", {"k": 8})]).fit(rows).transform(rows)
-    return done.select("vec_id", F.size(vector_to_array("features_reduce")).alias("dims"))
+    return positions(done.select("vec_id", vector_to_array("features_reduce").alias("vector")), "vec_id")
+
+
+@query("V10b_reduction_is_orthonormal", "select vec_id, 8 as dims, round(sqrt(list_sum([x::double * x::double for x in embedding])), 4) as length, true as kept_is_less from embeddings")
+def v10b(t: Tables):
+    """With as many components as dimensions the projection only turns, so lengths stay; with fewer it can only shorten."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from forumlens.operators.models import pipeline
+
+    rows = t.embeddings.select("vec_id", array_to_vector("embedding").alias("features"))
+    every = pipeline([("reduce", {"k": t.embeddings.select(F.size("embedding")).first()[0]})]).fit(rows).transform(rows).select("vec_id", vector_to_array("features_reduce").alias("whole"))
+    done = pipeline([("reduce", {"k": 8})]).fit(rows).transform(rows).select("vec_id", vector_to_array("features_reduce").alias("part"))
+    both = every.join(done, "vec_id")
+    return both.select("vec_id", F.size("part").alias("dims"), F.round(V.norm(F.col("whole")), 4).alias("length"), (V.norm(F.col("part")) <= V.norm(F.col("whole")) + 1e-9).alias("kept_is_less"))
 
 
 def ward(t: Tables, counts=(2, 5, 10, 23)):
@@ -162,7 +176,21 @@ def v12(t: Tables):
     from forumlens.operators.models import pipeline
 
     rows = t.embeddings.select("vec_id", "label", array_to_vector("embedding").alias("features"))
-    return pipeline([("kmeans", {"k": 10})]).fit(rows).transform(rows).groupBy("label", "label_found").agg(F.count(F.lit(1)).alias("n"))
+    return pipeline([("kmeans", {"k": 10})]).fit(rows).transform(rows).select("vec_id", "label_found")
+
+
+@query("V12b_kmeans_is_nearest", "select vec_id, true as in_its_nearest from embeddings")
+def v12b(t: Tables):
+    """Every row lies in the cluster whose centre is nearest to it."""
+    from pyspark.ml.functions import array_to_vector
+
+    from forumlens.operators.models import pipeline
+
+    rows = t.embeddings.select("vec_id", "embedding", array_to_vector("embedding").alias("features"))
+    model = pipeline([("kmeans", {"k": 10})]).fit(rows)
+    centres = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in model.stages[-1].clusterCenters()))
+    far = F.transform(centres, lambda c: F.aggregate(F.zip_with(c, "embedding", lambda a, b: (a - b.cast("double")) * (a - b.cast("double"))), F.lit(0.0), lambda s, x: s + x))
+    return model.transform(rows).select("vec_id", (F.get(far, F.col("label_found")) <= F.array_min(far) + 1e-9).alias("in_its_nearest"))
 
 
 @query("V13_linkage")
@@ -170,20 +198,49 @@ def v13(t: Tables):
     return C.linkage(t.embeddings, "vec_id", "embedding")
 
 
-@query("V14_flat_cuts")
+@query(
+    "V13b_linkage_adds_up",
+    "with x as (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as pos from embeddings), m as (select pos, avg(x) as m from x group by 1) select (select count(*) - 1 from embeddings) as merges, (select count(*) from embeddings) as leaves, (select count(*)::int from embeddings) as largest, round((select sum((x - m) ** 2) from x join m using (pos)), 2) as total",
+)
+def v13b(t: Tables):
+    """Each merge of Ward's tree adds half its squared distance to the sum of squares, which ends at that of all rows."""
+    tree = C.linkage(t.embeddings, "vec_id", "embedding")
+    return tree.agg(F.count("merge").alias("merges"), F.count_distinct("leaf").alias("leaves"), F.max("count").alias("largest"), F.round(F.sum(F.col("distance") * F.col("distance") / 2), 2).alias("total"))
+
+
+@query("V14_flat_cuts", "select k, k::bigint as clusters, (select count(*) from embeddings) as rows from (values (2), (5), (10), (23)) v(k)")
 def v14(t: Tables):
     return ward(t).groupBy("k").agg(F.count_distinct("label").alias("clusters"), F.count(F.lit(1)).alias("rows"))
 
 
+@query("V11b_cuts_are_nested", "select fine, coarse, fine::bigint as pairs from (values (23, 10), (10, 5), (5, 2)) v(fine, coarse)")
+def v11b(t: Tables):
+    """Every cluster of a finer cut lies in one cluster of the coarser."""
+    rows = ward(t)
+    lanes = [rows.where(F.col("k") == a).select("vec_id", F.col("label").alias("la")).join(rows.where(F.col("k") == b).select("vec_id", F.col("label").alias("lb")), "vec_id").agg(F.count_distinct("la", "lb").alias("pairs")).select(F.lit(a).alias("fine"), F.lit(b).alias("coarse"), "pairs") for a, b in ((23, 10), (10, 5), (5, 2))]
+    return lanes[0].unionByName(lanes[1]).unionByName(lanes[2])
+
+
+@query("V15b_order_keeps_clusters_together", "select k, (select count(*) from embeddings) as positions, k::bigint as stretches from (values (2), (5), (10), (23)) v(k)")
+def v15b(t: Tables):
+    """Along the leaf order every cluster of every cut is one stretch, and every position is taken once."""
+    spans = ward(t).groupBy("k", "label").agg(F.count(F.lit(1)).alias("n"), (F.max("model_sort_order") - F.min("model_sort_order") + 1).alias("span"))
+    return spans.groupBy("k").agg(F.sum("span").alias("positions"), F.count(F.when(F.col("n") == F.col("span"), 1)).alias("stretches"))
+
+
 @query("V15_leaf_order")
 def v15(t: Tables):
     return ward(t, (2,)).select("vec_id", "model_sort_order")
 
 
+#: 23 ranges of k from a handful to thousands, each about a third wider than the one before.
+INTERVALS = [(low, high) for low, high in zip([2, *(int(8 * 1.33**k) + 1 for k in range(22))], [int(8 * 1.33**k) for k in range(23)])]
+
+
 @query("V16_best_counts")
 def v16(t: Tables):
     tree = C.ward_tree(*C.tree_points(t.embeddings, "vec_id", "embedding", normalise=True))
-    found = C.best_counts(tree, [(2, 5), (6, 12), (13, 30), (31, 80)])
+    found = C.best_counts(tree, INTERVALS)
     return t.spark.createDataFrame(found, "low int, high int, k int, acceleration double")
 
 
@@ -235,7 +292,7 @@ def v20(t: Tables):
     return positions(V.mean_vector(scaled, ["user_id"], "s"), "user_id")
 
 
-@query("V21_alignment")
+@query("V21_alignment", "select vec_id, 1.0::double as cosine from embeddings")
 def v21(t: Tables):
     from forumlens.operators.alignment import procrustes
 
