@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forumlens.operators import clustering as C
@@ -13,14 +13,15 @@ from .registry import Tables, query
 
 
 def cluster_summary(members: DataFrame, separator: str = ", ") -> DataFrame:
-    """One row per cluster: lists and counts of seeds and of recommendable members, and whether it is an orphan.
+    """One row per cluster: lists and counts of seeds, of recommendable, discoverable and private members, and whether it is an orphan.
 
-    Input has cluster, id, is_seed, can_recommend. An orphan has fewer than two members, or no member to recommend.
+    Input has cluster, id, is_seed, can_recommend, can_discover, is_private. An orphan has fewer than two members, or no member to recommend.
     """
     names = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(F.col(c), F.col("id")))), separator)
     n = lambda c: F.count(F.when(F.col(c), 1))
     out = members.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("members"), n("is_seed").alias("seeds"), names("is_seed").alias("seed_list"), n("can_recommend").alias("recommendable"), names("can_recommend").alias("recommend_list")
+        F.count(F.lit(1)).alias("members"), n("is_seed").alias("seeds"), names("is_seed").alias("seed_list"), n("can_recommend").alias("recommendable"), names("can_recommend").alias("recommend_list"),
+        n("can_discover").alias("discoverable"), names("can_discover").alias("discover_list"), n("is_private").alias("private"), names("is_private").alias("private_list"),
     )
     return out.withColumn("is_orphan", (F.col("members") < 2) | (F.col("recommendable") == 0))
 
@@ -45,14 +46,14 @@ def labelled(t: Tables) -> DataFrame:
 def members_of(t: Tables) -> DataFrame:
     seeds = t.embeddings_community.where("is_seed").select("subreddit_id").distinct().withColumn("is_seed", F.lit(True))
     rows = labelled(t).join(seeds, "subreddit_id", "left")
-    return rows.select(F.col("path1").alias("cluster"), F.col("subreddit_id").alias("id"), F.coalesce("is_seed", F.lit(False)).alias("is_seed"), (F.col("posts_for_modeling_count") >= 5).alias("can_recommend"))
+    return rows.select(F.col("path1").alias("cluster"), F.col("subreddit_id").alias("id"), F.coalesce("is_seed", F.lit(False)).alias("is_seed"), (F.col("posts_for_modeling_count") >= 5).alias("can_recommend"), F.col("posts_for_modeling_count").between(1, 4).alias("can_discover"), F.col("posts_for_modeling_count").isNull().alias("is_private"))
 
 
 _LAB = (
     "(select *, lpad(k_0023_label::int::varchar, 4, '0') as path1, case when k_0097_label is not null then lpad(k_0023_label::int::varchar, 4, '0') || '-' || lpad(k_0097_label::int::varchar, 4, '0') end as path2 from cluster_labels"
     " where subreddit_id is not null and k_0023_label is not null qualify row_number() over (partition by subreddit_id order by model_sort_order nulls first, k_0097_label nulls last, primary_topic nulls last, cluster_majority_primary_topic nulls last, subreddit_name nulls last, posts_for_modeling_count nulls last) = 1)"
 )
-_MEM = f"(select path1 as cluster, subreddit_id as id, subreddit_id in (select subreddit_id from embeddings_community where is_seed and subreddit_id is not null) as is_seed, posts_for_modeling_count >= 5 as can_recommend from {_LAB})"
+_MEM = f"(select path1 as cluster, subreddit_id as id, subreddit_id in (select subreddit_id from embeddings_community where is_seed and subreddit_id is not null) as is_seed, posts_for_modeling_count >= 5 as can_recommend, posts_for_modeling_count between 1 and 4 as can_discover, posts_for_modeling_count is null as is_private from {_LAB})"
 
 
 @query("Q20_hierarchical_clusters")
@@ -77,18 +78,18 @@ def q22(t: Tables):
 
 _ORPHANS = " union all ".join(
     f"select {n} as n, (select count(*) from (select case when level = 0 then path1 else path2 end as cluster, count(*) as members, count(case when subreddit_id in (select subreddit_id from embeddings_community where is_seed and subreddit_id is not null) then 1 end) as seeds from {_dynamic(n)} group by 1) where members < 2 or seeds = 0) as orphans"
-    for n in (1, 2, 3, 4)
+    for n in (5, 6, 7, 8, 9)
 )
 
 
 @query("Q23_best_minimum", f"select n::int as n, orphans, row_number() over (order by orphans, n) = 1 as is_best from ({_ORPHANS})")
 def q23(t: Tables):
-    return C.best_minimum(labelled(t), "subreddit_id", ["path1", "path2"], t.embeddings_community.where("is_seed"), (1, 2, 3, 4))
+    return C.best_minimum(labelled(t), "subreddit_id", ["path1", "path2"], t.embeddings_community.where("is_seed"), (5, 6, 7, 8, 9))
 
 
 @query(
     "Q24_cluster_summary",
-    f"select cluster, count(*) as members, count(case when is_seed then 1 end) as seeds, coalesce(string_agg(case when is_seed then id end, ', ' order by id), '') as seed_list, count(case when can_recommend then 1 end) as recommendable, coalesce(string_agg(case when can_recommend then id end, ', ' order by id), '') as recommend_list, count(*) < 2 or count(case when can_recommend then 1 end) = 0 as is_orphan from {_MEM} group by 1",
+    f"select cluster, count(*) as members, count(case when is_seed then 1 end) as seeds, coalesce(string_agg(case when is_seed then id end, ', ' order by id), '') as seed_list, count(case when can_recommend then 1 end) as recommendable, coalesce(string_agg(case when can_recommend then id end, ', ' order by id), '') as recommend_list, count(case when can_discover then 1 end) as discoverable, coalesce(string_agg(case when can_discover then id end, ', ' order by id), '') as discover_list, count(case when is_private then 1 end) as private, coalesce(string_agg(case when is_private then id end, ', ' order by id), '') as private_list, count(*) < 2 or count(case when can_recommend then 1 end) = 0 as is_orphan from {_MEM} group by 1",
 )
 def q24(t: Tables):
     return cluster_summary(members_of(t))
@@ -133,5 +134,3 @@ def q50(t: Tables):
 def q51(t: Tables):
     return labelled(t).groupBy(F.col("path1").alias("cluster")).agg(F.count(F.lit(1)).alias("members"), F.array_join(F.array_sort(F.collect_list("subreddit_id")), ", ").alias("ids"))
 
-
-_ = Window

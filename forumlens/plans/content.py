@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forumlens.functions import text as X
@@ -10,12 +10,26 @@ from forumlens.operators import relational as R
 from forumlens.operators import vectors as V
 
 from .registry import Tables, query
+from .texts import LINKS
+from .vector_queries import _B, _COM, with_community
 
 
-def documents_for_modelling(documents: DataFrame, detections: DataFrame, keep: int = 8400) -> DataFrame:
-    """One row per document of the latest load, the `keep` most voted per community, with language and clean text.
+def image_texts(images: DataFrame, most: int = 300) -> DataFrame:
+    """`post_id`, `image_text`: the texts read from a post's images in order, joined and cleaned.
 
-    Ranking comes before cleaning, so regular expressions run over the survivors only. Documents without a detection
+    Input has post_id, at, image_id, text. Only the first `most` characters are ever shown, so as many texts are kept.
+    """
+    rows = images.where("post_id is not null and text is not null and trim(text) <> ''")
+    first = R.top_n(rows, ["post_id"], [F.asc_nulls_first("at"), F.asc("image_id")], most)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.trim("text").alias("s")))), lambda r: r["s"])
+    return first.groupBy("post_id").agg(F.array_join(ordered, "\n").alias("a")).select("post_id", X.cleaned(F.col("a"), X.OCR).alias("image_text"))
+
+
+def documents_for_modelling(documents: DataFrame, detections: DataFrame, images: DataFrame, keep: int = 8400, popular: int = 100, link_rules=((("pics.example",), "name"),)) -> DataFrame:
+    """One row per document of the latest load, the `keep` most voted per community, with language and the text that an encoder sees.
+
+    The text is the flair, a note for documents with more than `popular` votes, the words of the first link, the
+    cleaned body (long ones by head and tail) and what was read from images. Ranking comes before cleaning, so regular expressions run over the survivors only. Documents without a detection
     keep the language 'UNPROCESSED'.
     """
     latest = R.dedupe_latest(documents.where("post_id is not null and subreddit_id is not null"), ["post_id"], [F.desc_nulls_last("dt"), F.asc("doc_id")])
@@ -23,13 +37,36 @@ def documents_for_modelling(documents: DataFrame, detections: DataFrame, keep: i
     language = R.dedupe_latest(detections.where("post_id is not null"), ["post_id"], [F.desc_nulls_last("dt"), F.asc_nulls_last("weighted_language_code")]).select(
         "post_id", F.col("weighted_language_code").alias("language")
     )
-    joined = top.join(language, "post_id", "left")
+    joined = top.join(language, "post_id", "left").join(image_texts(images), "post_id", "left")
+    url = F.nullif(F.regexp_extract("text", r"https?://[^ \n]+", 0), F.lit(""))
+    link = X.url_text(X.url_domain(url), X.url_path_words(url), link_rules)
+    body = X.clean_document(F.coalesce("text", F.lit(".")))
     return joined.select(
         "doc_id", "post_id", "subreddit_id", "rank_in_community", F.coalesce("language", F.lit("UNPROCESSED")).alias("language"),
-        X.clean_document(F.coalesce("text", F.lit("."))).alias("clean"),
+        X.assemble(X.clean_flair(F.col("source")), F.col("upvotes") > popular, "Popular.", link, body, F.col("image_text")).alias("text"),
     )
 
 
+def communities_for_modelling(vectors: DataFrame, topics: DataFrame, documents: DataFrame, least: int = 3, links: int = 10) -> DataFrame:
+    """`subreddit_id`, `is_seed`, `name`, `vectors`, `text`: communities that are seeds or have `least` documents, with the text that describes them.
+
+    The text is the name, the topic unless it says the same, the `links` names its documents link to most, and its most
+    voted document as the description, cleaned.
+    """
+    kept = vectors.where("subreddit_id is not null").where((F.col("posts_for_embeddings_count") >= least) | F.col("is_seed"))
+    one = kept.groupBy("subreddit_id").agg(F.max("is_seed").alias("is_seed"), F.min("subreddit_name").alias("name"), F.count(F.lit(1)).alias("vectors"))
+    topic = topics.where("subreddit_id is not null").groupBy("subreddit_id").agg(F.min(F.lower(F.trim("primary_topic"))).alias("topic"))
+    said = documents.where("subreddit_id is not null and text is not null")
+    named = said.select("subreddit_id", F.explode(X.linked_names(F.col("text"))).alias("linked")).groupBy("subreddit_id", "linked").agg(F.count(F.lit(1)).alias("n"))
+    best = R.top_n(named, ["subreddit_id"], [F.desc("n"), F.asc("linked")], links)
+    linked = best.groupBy("subreddit_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "linked"))), lambda r: r["linked"]), ", ").alias("linked"))
+    about = R.top_n(said, ["subreddit_id"], [F.desc_nulls_last("upvotes"), F.asc("doc_id")], 1).select("subreddit_id", F.col("text").alias("about"))
+    rows = one.join(topic, "subreddit_id", "left").join(linked, "subreddit_id", "left").join(about, "subreddit_id", "left")
+    title = F.when(F.lower("name") == F.coalesce("topic", F.lit("")), "").otherwise(F.coalesce(F.concat("topic", F.lit("\n")), F.lit("\n")))
+    text = F.concat(F.coalesce("name", F.lit("")), F.lit(". "), title, F.coalesce(F.concat("linked", F.lit("\n")), F.lit("")), X.clean_description(F.col("about")))
+    return rows.select("subreddit_id", "is_seed", "name", "vectors", text.alias("text"))
+
+
 def replies_for_modelling(replies: DataFrame, blocked_users: DataFrame, least_length: int = 11, keep: int = 8) -> DataFrame:
     """Distinct replies by users that are not blocked, cleaned, long enough, the `keep` longest per document."""
     once = R.dedupe_latest(replies.where("comment_id is not null and comment_body_text is not null"), ["comment_id"], [F.asc("dt"), F.asc("comment_body_text")])
@@ -63,32 +100,36 @@ def nested_neighbours(pairs: DataFrame) -> DataFrame:
 
 @query(
     "Q7_communities_for_modelling",
-    "select subreddit_id, max(is_seed::int)::boolean as is_seed, min(subreddit_name) as name, count(*) as vectors from embeddings_community where subreddit_id is not null and (posts_for_embeddings_count >= 3 or is_seed) group by 1",
+    "with one as (select subreddit_id, max(is_seed::int)::boolean as is_seed, min(subreddit_name) as name, count(*) as vectors from embeddings_community where subreddit_id is not null and (posts_for_embeddings_count >= 3 or is_seed) group by 1), topic as (select subreddit_id, min(lower(trim(primary_topic))) as topic from cluster_labels where subreddit_id is not null group by 1),"
+    " named as (select subreddit_id, linked, count(*) as n from (select subreddit_id, lower(unnest(regexp_extract_all(text, '(?i)\\br/(\\w{2,21})', 1))) as linked from documents where subreddit_id is not null and text is not null) group by 1, 2), top as (select *, row_number() over (partition by subreddit_id order by n desc, linked) as rank from named), links as (select subreddit_id, string_agg(linked, ', ' order by rank) as linked from top where rank <= 10 group by 1),"
+    " about as (select subreddit_id, text as about from documents where subreddit_id is not null and text is not null qualify row_number() over (partition by subreddit_id order by upvotes desc nulls last, doc_id) = 1)"
+    f" select one.subreddit_id, is_seed, name, vectors, coalesce(name, '') || '. ' || case when lower(name) = coalesce(topic, '') then '' else coalesce(topic || chr(10), chr(10)) end || coalesce(linked || chr(10), '') || {X.as_sql(chr(99) + 'oalesce(about, ' + repr('') + ')', X.DESCRIPTION)} as text"
+    " from one left join topic on topic.subreddit_id = one.subreddit_id left join links on links.subreddit_id = one.subreddit_id left join about on about.subreddit_id = one.subreddit_id",
 )
 def q7(t: Tables):
-    kept = t.embeddings_community.where("subreddit_id is not null and (posts_for_embeddings_count >= 3 or is_seed)")
-    return kept.groupBy("subreddit_id").agg(F.max("is_seed").alias("is_seed"), F.min("subreddit_name").alias("name"), F.count(F.lit(1)).alias("vectors"))
+    return communities_for_modelling(t.embeddings_community, t.cluster_labels, t.documents)
 
 
+_CLEAN = X.as_sql("coalesce(text, '.')", X.DOCUMENT)
 _DOCS = (
     "with latest as (select * from documents where post_id is not null and subreddit_id is not null qualify row_number() over (partition by post_id order by dt desc nulls last, doc_id) = 1),"
-    " top as (select *, row_number() over (partition by subreddit_id order by upvotes desc nulls last, doc_id)::int as rank_in_community from latest qualify rank_in_community <= 20),"
-    " lang as (select post_id, weighted_language_code as language from post_language_detection_cld3_clean where post_id is not null qualify row_number() over (partition by post_id order by dt desc nulls last, weighted_language_code nulls last) = 1)"
+    " top as (select *, row_number() over (partition by subreddit_id order by upvotes desc nulls last, doc_id)::int as rank_in_community from latest qualify rank_in_community <= 8400),"
+    " lang as (select post_id, weighted_language_code as language from post_language_detection_cld3_clean where post_id is not null qualify row_number() over (partition by post_id order by dt desc nulls last, weighted_language_code nulls last) = 1),"
+    " image as (select post_id, trim(text) as s, row_number() over (partition by post_id order by created_timestamp nulls first, detection_id) as rank from comment_language_v2 where thing_type = 'post' and post_id is not null and text is not null and trim(text) <> ''),"
+    f" ocr as (select post_id, {X.as_sql('a', X.OCR)} as image_text from (select post_id, string_agg(s, chr(10) order by rank) as a from image where rank <= 300 group by 1)),"
+    f" cleaned as (select *, {_CLEAN} as body, {X.as_sql('source', X.FLAIR)} as flair from top)"
 )
+_HEAD_TAIL = "case when length(body) >= 1010 then left(body, 720) || '.' || chr(10) || chr(10) || right(body, 290) else body end"
 
 
 @query(
     "Q8_documents_for_modelling",
-    _DOCS + f" select doc_id, top.post_id, subreddit_id, rank_in_community, coalesce(language, 'UNPROCESSED') as language, {X.as_sql(chr(99) + 'oalesce(text, ' + repr('.') + ')', X.DOCUMENT)} as clean from top left join lang on lang.post_id = top.post_id",
+    _DOCS + f" select c.doc_id, c.post_id, subreddit_id, rank_in_community, coalesce(language, 'UNPROCESSED') as language, trim(coalesce(flair, '') || case when coalesce(upvotes > 100, false) then chr(10) || 'Popular.' else '' end || coalesce(chr(10) || words, '') || chr(10) || {_HEAD_TAIL} || chr(10) || coalesce(left(image_text, 300), '')) as text"
+    f" from cleaned c left join lang on lang.post_id = c.post_id left join ocr on ocr.post_id = c.post_id left join {LINKS} k on k.doc_id = c.doc_id",
 )
 def q8(t: Tables):
-    return documents_for_modelling(t.documents, t.post_language_detection_cld3_clean, 20)
-
-
-# The reference's own limit, 8400 a community: the SQL above fixes 20.
-@query("Q8b_documents_for_production")
-def q8b(t: Tables):
-    return documents_for_modelling(t.documents, t.post_language_detection_cld3_clean)
+    images = t.comment_language_v2.where("thing_type = 'post'").select("post_id", F.col("created_timestamp").alias("at"), F.col("detection_id").alias("image_id"), "text")
+    return documents_for_modelling(t.documents, t.post_language_detection_cld3_clean, images)
 
 
 _REPLIES = (
@@ -117,14 +158,21 @@ def q10(t: Tables):
     return combined_text(docs, replies(t))
 
 
+_KEY = "case when doc < 60 then 1000 + doc when doc < 200 then 2000 + doc // 20 else label end"
+
+
 @query(
     "Q18_embedding_rollup",
-    "with e as (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1)::int - 1 as pos from embeddings) select label, pos, count(*) as documents, round(avg(x), 5) + 0 as v from e group by 1, 2",
+    f"with m as (select doc, {_KEY.replace('else label', 'else b.label')} as g, b.pos, (0.85::double * b.x + 0.15::double * c.x) as x from {_B} b join {_COM} c on c.label = b.label and c.pos = b.pos), own as (select distinct g, label from (select {_KEY} as g, min(label) over (partition by {_KEY}) as label from {_B} b)),"
+    " d as (select g, pos, sum(x) as s, count(*) as k from m group by 1, 2) select d.g::bigint as g, d.pos, d.k as documents, round(case when d.k >= 3 then d.s / d.k else (d.s + c.x) / (d.k + 1) end, 5) + 0 as v"
+    f" from d join own on own.g = d.g join {_COM} c on c.label = own.label and c.pos = d.pos",
 )
 def q18(t: Tables):
-    community = V.mean_vector(t.embeddings, ["label"], "embedding", name="community")
-    rolled = community_rollup(t.embeddings.select("label", "embedding"), community, "label", "embedding")
-    return rolled.select("label", "documents", F.posexplode("vector").alias("pos", "v")).withColumn("v", F.round("v", 5) + F.lit(0.0))
+    """Document with its replies, then with its community, then documents to communities; small ones lean on their own vector."""
+    mixed = with_community(t, (0.85, 0.15)).withColumn("g", F.expr(_KEY.replace("//", "div")).cast("bigint"))
+    own = mixed.groupBy("g").agg(F.min("label").alias("label")).join(V.mean_vector(t.embeddings, ["label"], "embedding", name="community"), "label").select("g", "community")
+    rolled = community_rollup(mixed.select("g", "vector"), own, "g", "vector")
+    return rolled.select("g", "documents", F.posexplode("vector").alias("pos", "v")).withColumn("v", F.round("v", 5) + F.lit(0.0))
 
 
 @query(
@@ -175,5 +223,3 @@ def q60(t: Tables):
     c = F.col("post_type")
     return t.documents.select("doc_id", F.when(c.isin("image", "video"), "media").otherwise(F.coalesce(c, F.lit("other"))).alias("type3"), F.when(c == "text", "text").otherwise("other").alias("type2"))
 
-
-_ = Window

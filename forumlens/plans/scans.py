@@ -208,5 +208,3 @@ def k16(t: Tables):
     labels = t.nation.where("n_regionkey = 0").select("n_nationkey", F.upper("n_name").alias("new"))
     return t.supplier.join(F.broadcast(labels), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", F.coalesce("new", "s_name").alias("label"))
 
-
-_ = table

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from forumlens.functions import scalars as S
 from forumlens.operators import relational as R
-from forumlens.sources import store
 
 from .registry import Tables, query
 
@@ -49,6 +48,16 @@ def training_labels(events: DataFrame) -> DataFrame:
     return joined.select("user_id", "d", "sends", "receipts", ((F.col("answers") > 0) | (F.coalesce("next_day", F.lit(0)) > 0)).alias("label"))
 
 
+def point_in_time(labels: DataFrame, daily: DataFrame, days: int = 30) -> DataFrame:
+    """Each label row (user_id, d) with what its user did in the `days` days before: the day of the label itself is never seen.
+
+    `daily` has user_id, day, n: pre-aggregated, so a user with millions of events is at most one row a day in the join.
+    """
+    seen = labels.select("user_id", "d").join(daily, "user_id").where((F.col("day") < F.col("d")) & (F.col("day") >= F.date_sub("d", days)))
+    sums = seen.groupBy("user_id", "d").agg(F.sum("n").alias("events_before"), F.count(F.lit(1)).alias("days_before"))
+    return labels.join(sums, ["user_id", "d"], "left").na.fill(0, ["events_before", "days_before"])
+
+
 def audience(scores: DataFrame, groups: Sequence[str], keep: int) -> DataFrame:
     """The best `keep` users per group, nested in order of rank; input has the groups, user_id, score."""
     ranked = R.top_n(scores, groups, [F.desc("score"), F.asc("user_id")], keep)
@@ -101,6 +110,35 @@ def q36(t: Tables):
     return p.join(u, "user_id", "left").join(c, "event_type", "left").select("user_id", "event_type", "n", F.coalesce("events_t30", F.lit(0)).alias("events_t30"), "users")
 
 
+@query(
+    "Q36b_training_join",
+    "with d as (select user_id, cast(ts as date) as d, count(case when event_type = 'view' then 1 end) as sends, count(case when event_type = 'click' then 1 end) as receipts, count(case when event_type = 'purchase' then 1 end) as answers, count(*) as n from events group by 1, 2), l as (select a.user_id, a.d, a.sends, a.receipts, a.answers > 0 or coalesce(b.answers, 0) > 0 as label from d a left join d b on b.user_id = a.user_id and b.d = a.d + 1 where a.sends > 0)"
+    " select l.user_id, l.d::varchar as d, l.sends, l.receipts, l.label, coalesce(sum(x.n), 0)::bigint as events_before, count(x.n) as days_before from l left join d x on x.user_id = l.user_id and x.d < l.d and x.d >= l.d - 30 group by 1, 2, 3, 4, 5",
+)
+def q36b(t: Tables):
+    daily = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return point_in_time(training_labels(t.events), daily).withColumn("d", F.col("d").cast("string"))
+
+
+_APPS = ("ios", "android", "mweb", "desktop2x", "old_web")
+
+
+@query(
+    "Q33b_platforms_and_places",
+    "with r as (select subreddit_id, lower(trim(app_name)) as app, upper(trim(geolocation_country_code)) as country, user_id from comment_language_v2 where subreddit_id is not null), g as (select subreddit_id, count(*) as n, count(distinct user_id) as users, " + ", ".join(f"count(case when app = '{a}' then 1 end) as {a}" for a in _APPS) + " from r group by 1),"
+    " c as (select subreddit_id, country, count(*) as n, sum(count(*)) over (partition by subreddit_id) as total from r where country is not null group by 1, 2), k as (select subreddit_id, string_agg(country, ', ' order by country) as countries from c where n >= 0.05 * total group by 1)"
+    " select g.subreddit_id, round(ln(1 + n), 6) as log_n, round(ln(1 + users), 6) as log_users, " + ", ".join(f"round({a} / n, 6) as share_{a}" for a in _APPS) + ", coalesce(countries, '') as countries from g left join k on k.subreddit_id = g.subreddit_id",
+)
+def q33b(t: Tables):
+    rows = t.comment_language_v2.where("subreddit_id is not null").select("subreddit_id", F.lower(F.trim("app_name")).alias("app"), F.upper(F.trim("geolocation_country_code")).alias("country"), "user_id")
+    apps = [F.count(F.when(F.col("app") == a, 1)).alias(a) for a in _APPS]
+    g = rows.groupBy("subreddit_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), *apps)
+    wide = community_features(g, ["subreddit_id"], ["n", "users", *_APPS], "n").drop("share_users", *(f"log_{a}" for a in _APPS))
+    places = R.share_of_total(rows.where("country is not null"), ["subreddit_id"], ["country"]).where("share >= 0.05")
+    lists = places.groupBy("subreddit_id").agg(F.array_join(F.array_sort(F.collect_list("country")), ", ").alias("countries"))
+    return wide.join(lists, "subreddit_id", "left").na.fill("", ["countries"])
+
+
 @query(
     "Q37_training_labels",
     "with d as (select user_id, cast(ts as date) as d, count(case when event_type = 'view' then 1 end) as sends, count(case when event_type = 'click' then 1 end) as receipts, count(case when event_type = 'purchase' then 1 end) as answers from events group by 1, 2) select a.user_id, a.d::varchar as d, a.sends, a.receipts, a.answers > 0 or coalesce(b.answers, 0) > 0 as label from d a left join d b on b.user_id = a.user_id and b.d = a.d + 1 where a.sends > 0",
@@ -129,5 +167,3 @@ def q38(t: Tables):
 def q38b(t: Tables):
     return best_group_per_user(audience(scores(t), ["event_type"], 25), ["event_type"]).select("user_id", "event_type", "rank")
 
-
-_ = store

@@ -121,10 +121,11 @@ def x19(t: Tables):
     return urls(t).select("doc_id", X.url_path_words(F.col("url")).alias("path"))
 
 
-@query(
-    "X20_url_text",
-    f"select doc_id, case when d is null then null when d = 'pics.example' then d when length(regexp_replace(coalesce(p, ''), '\\w+', '#', 'g')) - length(replace(regexp_replace(coalesce(p, ''), '\\w+', '#', 'g'), '#', '')) >= 3 then d || ' ' || p else d end as words from (select doc_id, {_DOMAIN} as d, {_PATHTEXT} as p from {_URL})",
-)
+LINK_WORDS = "case when d is null then null when d = 'pics.example' then d when length(regexp_replace(coalesce(p, ''), '\\w+', '#', 'g')) - length(replace(regexp_replace(coalesce(p, ''), '\\w+', '#', 'g'), '#', '')) >= 3 then d || ' ' || p else d end"
+LINKS = f"(select doc_id, {LINK_WORDS} as words from (select doc_id, {_DOMAIN} as d, {_PATHTEXT} as p from {_URL}))"
+
+
+@query("X20_url_text", f"select doc_id, words from {LINKS}")
 def x20(t: Tables):
     rows = urls(t).select("doc_id", X.url_domain(F.col("url")).alias("d"), X.url_path_words(F.col("url")).alias("p"))
     return rows.select("doc_id", X.url_text(F.col("d"), F.col("p"), [(["pics.example"], "name")]).alias("words"))

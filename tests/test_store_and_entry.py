@@ -1,4 +1,7 @@
+import math
+
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +65,20 @@ def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def _comparable(df):
+    """Rows as sorted tuples; numbers to nine digits, every kind of missing value alike."""
+
+    def plain(x):
+        x = x.tolist() if hasattr(x, "tolist") else x
+        if x is None or x is pd.NaT or x is pd.NA or isinstance(x, float) and math.isnan(x):
+            return ""
+        if isinstance(x, bool) or not isinstance(x, (int, float)):
+            return str(x)
+        return repr(round(float(x), 9) + 0.0)
+
+    return sorted(tuple(plain(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_queries_agree_with_sql_on_the_smallest_tables(spark, sf, name):
     df = registry.queries()[name](spark, sf)
@@ -71,11 +88,13 @@ def test_queries_agree_with_sql_on_the_smallest_tables(spark, sf, name):
         assert len(got.columns)
         return
     con = duckdb.connect()
+    con.execute("set TimeZone = 'UTC'")
     for t in ("region nation customer supplier part orders lineitem events documents embeddings comment_language_v2 post_language_detection_cld3_clean "
               "comment_language_detection_cld3_clean df_tsne embeddings_community cluster_labels similar_communities language_lookup eval_items token_budgets").split():
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = con.execute(sql).df()
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
+    assert _comparable(got) == _comparable(want)
 
 
 def test_published_tables_conform(spark):
@@ -85,3 +104,31 @@ def test_published_tables_conform(spark):
     got = schemas.conform(df, schemas.CLUSTER_SUMMARY)
     assert got.schema == schemas.CLUSTER_SUMMARY and got.first()["members"] == 3
     assert all(schemas.conform(df, s).count() == 1 for s in schemas.PUBLISHED.values())
+
+
+def test_labels_never_see_their_own_day(spark):
+    labels = spark.sql("select 1 user_id, date '2024-01-10' d, true label union all select 2, date '2024-01-10', false")
+    daily = spark.sql("select 1 user_id, date '2024-01-10' day, 5 n union all select 1, date '2024-01-09', 2 union all select 1, date '2023-12-11', 3 union all select 1, date '2023-12-10', 100")
+    got = {r["user_id"]: (r["events_before"], r["days_before"], r["label"]) for r in targeting.point_in_time(labels, daily).collect()}
+    assert got == {1: (5, 2, True), 2: (0, 0, False)}
+    assert targeting.point_in_time(labels.limit(0), daily).count() == 0 and targeting.point_in_time(labels, daily.limit(0)).count() == 2
+
+
+def test_keywords_need_both_ranks(spark):
+    from forumlens.plans import keywords
+
+    rows = [("c", f"g{k:02d}", float(k), float(k if k < 8 else -k)) for k in range(12)] + [("d", "x", None, 1.0)]
+    df = spark.createDataFrame(rows, "community string, gram string, tfidf double, bm25 double")
+    got = [(r["gram"], r["r1"], r["r2"]) for r in keywords.ranked_keywords(df, 50, 6).where("community = 'c'").orderBy("rank").collect()]
+    by = lambda at: {r[1]: n for n, r in enumerate(sorted((r for r in rows if r[0] == "c"), key=lambda r: (-r[at], r[1])), 1)}
+    first, second = by(2), by(3)
+    want = sorted(((first[g] + second[g]) / 2, g) for g in first if (first[g] + second[g]) / 2 <= 6)
+    assert [g for g, _, _ in got] == [g for _, g in want] and all(a == first[g] and b == second[g] for g, a, b in got)
+
+
+def test_image_texts_in_order(spark):
+    from forumlens.plans import content
+
+    df = spark.createDataFrame([("p", 2, 1, "b"), ("p", 1, 2, " a "), ("p", None, 3, "z"), (None, 1, 4, "n"), ("q", 1, 5, None), ("q", 1, 6, "  ")], "post_id string, at int, image_id int, text string")
+    assert [tuple(r) for r in content.image_texts(df).collect()] == [("p", "z\na\nb")]
+    assert content.image_texts(df.limit(0)).count() == 0
