@@ -15,13 +15,14 @@ from .registry import Tables, query
 def cluster_summary(members: DataFrame, separator: str = ", ") -> DataFrame:
     """One row per cluster: lists and counts of seeds, of recommendable, discoverable and private members, and whether it is an orphan.
 
-    Input has cluster, id, is_seed, can_recommend, can_discover, is_private. An orphan has fewer than two members, or no member to recommend.
+    Input has cluster, id, is_seed, can_recommend; the lists of discoverable and private members come where it also has
+    can_discover and is_private. An orphan has fewer than two members, or no member to recommend.
     """
     names = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(F.col(c), F.col("id")))), separator)
     n = lambda c: F.count(F.when(F.col(c), 1))
     out = members.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("members"), n("is_seed").alias("seeds"), names("is_seed").alias("seed_list"), n("can_recommend").alias("recommendable"), names("can_recommend").alias("recommend_list"),
-        n("can_discover").alias("discoverable"), names("can_discover").alias("discover_list"), n("is_private").alias("private"), names("is_private").alias("private_list"),
+        *(made for c, count, listed in (("can_discover", "discoverable", "discover_list"), ("is_private", "private", "private_list")) if c in members.columns for made in (n(c).alias(count), names(c).alias(listed))),
     )
     return out.withColumn("is_orphan", (F.col("members") < 2) | (F.col("recommendable") == 0))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forumlens.functions import text as X
@@ -25,26 +25,35 @@ def image_texts(images: DataFrame, most: int = 300) -> DataFrame:
     return first.groupBy("post_id").agg(F.array_join(ordered, "\n").alias("a")).select("post_id", X.cleaned(F.col("a"), X.OCR).alias("image_text"))
 
 
-def documents_for_modelling(documents: DataFrame, detections: DataFrame, images: DataFrame, keep: int = 8400, popular: int = 100, link_rules=((("pics.example",), "name"),)) -> DataFrame:
-    """One row per document of the latest load, the `keep` most voted per community, with language and the text that an encoder sees.
+def selected_documents(documents: DataFrame, detections: DataFrame, keep: int = 8400) -> DataFrame:
+    """The rows of the latest load, the `keep` most voted per community, with `rank_in_community` and `language`.
 
-    The text is the flair, a note for documents with more than `popular` votes, the words of the first link, the
-    cleaned body (long ones by head and tail) and what was read from images. Ranking comes before cleaning, so regular expressions run over the survivors only. Documents without a detection
-    keep the language 'UNPROCESSED'.
+    Documents without a detection keep the language 'UNPROCESSED'.
     """
     latest = R.dedupe_latest(documents.where("post_id is not null and subreddit_id is not null"), ["post_id"], [F.desc_nulls_last("dt"), F.asc("doc_id")])
     top = R.top_n(latest, ["subreddit_id"], [F.desc_nulls_last("upvotes"), F.asc("doc_id")], keep, "rank_in_community")
     language = R.dedupe_latest(detections.where("post_id is not null"), ["post_id"], [F.desc_nulls_last("dt"), F.asc_nulls_last("weighted_language_code")]).select(
-        "post_id", F.col("weighted_language_code").alias("language")
+        "post_id", F.coalesce("weighted_language_code", F.lit("UNPROCESSED")).alias("language")
     )
-    joined = top.join(language, "post_id", "left").join(image_texts(images), "post_id", "left")
+    return top.join(language, "post_id", "left").na.fill("UNPROCESSED", ["language"])
+
+
+def clean_body() -> Column:
+    return X.clean_document(F.coalesce("text", F.lit(".")))
+
+
+def documents_for_modelling(documents: DataFrame, detections: DataFrame, images: DataFrame, keep: int = 8400, popular: int = 100, link_rules=((("pics.example",), "name"),)) -> DataFrame:
+    """One row per selected document, with its language and the text that an encoder sees.
+
+    The text is the flair, a note for documents with more than `popular` votes, the words of the first link, the
+    cleaned body (long ones by head and tail) and what was read from images. Ranking comes before cleaning, so regular
+    expressions run over the survivors only.
+    """
+    joined = selected_documents(documents, detections, keep).join(image_texts(images), "post_id", "left")
     url = F.nullif(F.regexp_extract("text", r"https?://[^ \n]+", 0), F.lit(""))
     link = X.url_text(X.url_domain(url), X.url_path_words(url), link_rules)
-    body = X.clean_document(F.coalesce("text", F.lit(".")))
-    return joined.select(
-        "doc_id", "post_id", "subreddit_id", "rank_in_community", F.coalesce("language", F.lit("UNPROCESSED")).alias("language"),
-        X.assemble(X.clean_flair(F.col("source")), F.col("upvotes") > popular, "Popular.", link, body, F.col("image_text")).alias("text"),
-    )
+    text = X.assemble(X.clean_flair(F.col("source")), F.col("upvotes") > popular, "Popular.", link, clean_body(), F.col("image_text"))
+    return joined.select("doc_id", "post_id", "subreddit_id", "rank_in_community", "language", text.alias("text"))
 
 
 def communities_for_modelling(vectors: DataFrame, topics: DataFrame, documents: DataFrame, least: int = 3, links: int = 10) -> DataFrame:
@@ -132,6 +141,13 @@ def q8(t: Tables):
     return documents_for_modelling(t.documents, t.post_language_detection_cld3_clean, images)
 
 
+@query("Q8b_documents_for_production", _DOCS + " select c.doc_id, c.post_id, subreddit_id, rank_in_community, coalesce(language, 'UNPROCESSED') as language, body as clean from cleaned c left join lang on lang.post_id = c.post_id")
+def q8b(t: Tables):
+    """The selection with the cleaned body alone."""
+    rows = selected_documents(t.documents, t.post_language_detection_cld3_clean)
+    return rows.select("doc_id", "post_id", "subreddit_id", "rank_in_community", "language", clean_body().alias("clean"))
+
+
 _REPLIES = (
     "with once as (select * from comment_language_detection_cld3_clean where comment_id is not null and comment_body_text is not null qualify row_number() over (partition by comment_id order by dt, comment_body_text) = 1),"
     f" cleaned as (select *, {X.as_sql('comment_body_text', X.REPLY)} as clean from once where coalesce(removed, 0) = 0 and (user_id is null or user_id not in (select user_id from documents where upvotes > 500 and user_id is not null)))"
