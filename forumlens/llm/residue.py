@@ -237,7 +237,7 @@ def train(ids: np.ndarray, values: np.ndarray, starts: np.ndarray, y: np.ndarray
 
     `start` is the solution of a similar problem, from which a quarter of the steps suffice.
     """
-    n, rows = len(y), np.repeat(np.arange(len(y)), np.diff(np.append(starts, len(ids))))
+    n, rows = len(y), np.repeat(np.arange(len(y), dtype=np.int32), np.diff(np.append(starts, len(ids))))
     cost = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     curve = np.bincount(ids, weights=values**2 * cost[rows], minlength=DIMS) * 0.25
     step = 1 / (curve * 12 + strength + 1e-4)
@@ -256,7 +256,7 @@ def train(ids: np.ndarray, values: np.ndarray, starts: np.ndarray, y: np.ndarray
 
 def _pack(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = frame["ids"].map(len).to_numpy()
-    return np.concatenate(frame["ids"].to_list()).astype(np.int64), np.concatenate(frame["values"].to_list()), np.cumsum(sizes) - sizes
+    return np.concatenate(frame["ids"].to_list(), dtype=np.int32), np.concatenate(frame["values"].to_list(), dtype=np.float32), np.cumsum(sizes) - sizes
 
 
 def fit(documents: DataFrame) -> Linear | None:
@@ -307,6 +307,7 @@ def fit(documents: DataFrame) -> Linear | None:
                 f = 2 * precision * recall / max(1e-9, precision + recall) - 1e-3 * abs(threshold - 0.5)
                 if best is None or f > best[0] + 1e-9:
                     best = (f, float(threshold), strength, float(precision), float(recall), at)
+        del a, b
     _, threshold, strength, precision, recall, at = best or (0, 0.5, STRENGTHS[1], float("nan"), float("nan"), None)
     w, bias = train(*_pack(got), got["label"].to_numpy(), strength, at)
     return Linear(w.astype(np.float32), bias, threshold, strength, precision, recall)
