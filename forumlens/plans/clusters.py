@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from forumlens.operators import clustering as C
 from forumlens.operators import relational as R
-from forumlens.sources import store
 
 from .registry import Tables, query
 
+#: Ids in one JSON object (some 14 bytes each) and copies of a cluster's list that share its objects; memory and balance only.
+OBJECT_IDS, COPIES = 100_000, 32
+
 
 def cluster_summary(members: DataFrame, separator: str = ", ") -> DataFrame:
     """One row per cluster: lists and counts of seeds, of recommendable, discoverable and private members, and whether it is an orphan.
@@ -38,6 +40,26 @@ def seed_recommendations(members: DataFrame) -> DataFrame:
     return out.where(F.size("ids") > 0)
 
 
+def seed_objects(members: DataFrame, object_ids: int = OBJECT_IDS) -> DataFrame:
+    """`cluster`, `part`, `json`: the lists of `seed_recommendations` as JSON objects from seed to list, seeds in order.
+
+    The ids of a cluster grow with its seeds times its members, and a string ends at 2 GB. So an object takes as many seeds
+    as have `object_ids` ids together, one at least: a cluster of no more ids is one object, a larger one has parts that hold every
+    seed once, with its whole list. Seeds' lists exist only in the row that becomes JSON; what is shuffled are
+    up to `COPIES` copies of a cluster's members, each with every `COPIES`-th part.
+    """
+    ids = lambda c: F.array_sort(F.collect_set(F.when(F.col(c), F.col("id"))))
+    both = members.where("cluster is not null").groupBy("cluster").agg(ids("can_recommend").alias("all"), ids("is_seed").alias("seeds")).where(F.size("all") > 0)
+    # A list is empty only where the seed is the one member to recommend.
+    both = both.withColumn("seeds", F.when(F.size("all") > 1, F.col("seeds")).otherwise(F.array_except("seeds", "all")))
+    both = both.withColumn("step", F.greatest(F.floor(F.lit(object_ids) / F.size("all")), F.lit(1)).cast("int"))
+    copies = both.withColumn("first", F.explode(F.transform(F.sequence(F.lit(0), F.lit(COPIES - 1)), lambda k: k.cast("bigint") * F.col("step") + 1))).where(F.col("first") <= F.size("seeds"))
+    starts = F.when(F.col("first") <= F.size("seeds"), F.sequence("first", F.size("seeds").cast("bigint"), F.col("step").cast("bigint") * COPIES))
+    parts = copies.repartition(COPIES, "cluster", "first").select("cluster", "all", "step", F.explode(starts).alias("start"), "seeds")
+    entries = F.transform(F.slice("seeds", F.col("start").cast("int"), F.col("step")), lambda s: F.struct(s.alias("key"), F.array_remove("all", s).alias("value")))
+    return parts.select("cluster", F.expr("(start - 1) div step").alias("part"), F.to_json(F.map_from_entries(entries)).alias("json"))
+
+
 def labelled(t: Tables) -> DataFrame:
     """One row per community of the cluster table, with its nested paths."""
     one = R.dedupe_latest(t.cluster_labels.where("subreddit_id is not null and k_0023_label is not null"), ["subreddit_id"], [F.asc("model_sort_order"), *(F.asc_nulls_last(c) for c in ("k_0097_label", "primary_topic", "cluster_majority_primary_topic", "subreddit_name", "posts_for_modeling_count"))])
@@ -103,8 +125,8 @@ def q25(t: Tables):
 
 @query("Q25_seed_json", f"select cluster, count(*) as seeds from (select a.cluster, a.id from {_MEM} a join {_MEM} b on b.cluster = a.cluster and b.can_recommend and b.id <> a.id where a.is_seed group by 1, 2) group by 1")
 def q25b(t: Tables):
-    lists = store.nested_json(seed_recommendations(members_of(t)), "cluster", "seed", "ids")
-    return lists.select("cluster", F.size(F.from_json("json", "map<string,array<string>>")).cast("bigint").alias("seeds"))
+    back = F.from_json("json", "map<string,array<string>>")
+    return seed_objects(members_of(t)).groupBy("cluster").agg(F.sum(F.size(back)).alias("seeds"))
 
 
 @query(

@@ -1,3 +1,4 @@
+import json
 from types import SimpleNamespace
 
 import numpy as np
@@ -157,6 +158,26 @@ def test_seed_lists(spark):
     assert {r["cluster"]: r["is_orphan"] for r in clusters.cluster_summary(df).collect()} == {"k": False, "solo": True, "none": True}
 
 
+def test_seed_objects_hold_every_list_at_any_size(spark):
+    rows = [("big", f"m{k:03d}", k % 3 == 0, k % 2 == 0) for k in range(301)] + [("k", "a", True, True), ("k", "b", True, True), ("k", "c", True, False), ("solo", "d", True, True)]
+    rows += [("mute", "e", True, None), ("one", "f", True, True), ("one", "g\"\\", True, False), ("seedless", "h", False, True), ("seedless", "i", None, True), ("big", "m000", True, True)]
+    df = spark.createDataFrame(rows, "cluster string, id string, is_seed boolean, can_recommend boolean")
+    want = {(r["cluster"], r["seed"]): r["ids"] for r in clusters.seed_recommendations(df).collect()}
+    assert ("one", "f") not in want and want[("one", "g\"\\")] == ["f"] and len([k for k in want if k[0] == "big"]) == 101
+    for most, parts in ((clusters.OBJECT_IDS, 1), (151 * 20, 6), (151, 101), (1, 101)):
+        objects = sorted((r["cluster"], r["part"], r["json"]) for r in clusters.seed_objects(df, most).collect())
+        read = [(c, seed, ids) for c, _, text in objects for seed, ids in json.loads(text).items()]
+        assert {(c, seed): ids for c, seed, ids in read} == want and len(read) == len(want) and read == sorted(read)
+        assert [p for c, p, _ in objects if c == "big"] == list(range(parts))
+        assert all(len(x) == 1 or sum(map(len, x.values())) <= most for x in (json.loads(text) for *_, text in objects))
+
+
+def test_seed_json_never_gathers_the_lists_of_a_cluster(spark, sf):
+    plan = registry.queries()["Q25_seed_json"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[: plan.index("RepartitionByExpression")]  # what works on lists of seeds
+    assert "collect_" not in top and "Join" not in top and "StructsToJson" in top and "from_json" in top
+
+
 def test_agreement_of_equal_and_of_single_clusters(spark):
     same = metrics.cluster_agreement(spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "t string, f int"), "t", "f").first()
     assert same["v_measure"] == pytest.approx(1) and same["adjusted_rand"] == pytest.approx(1)
