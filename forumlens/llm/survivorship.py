@@ -1,17 +1,12 @@
 """Best representative of each duplicate group (problem 1).
 
-Token-level consensus. The values of a group are aligned progressively, most trusted first; every alignment
-column takes a weighted vote over its tokens (or the gap), and the existing value closest to the consensus is emitted.
-
-Two ways to weigh the votes:
-
-* `consensus_fields` weighs by evidence: a vote counts its probability, twice if it is by the post's author, and equal values add up.
-  Agreement decides there; the trust order (author, time, probability, identifier) only breaks ties.
-* `surviving_fields` serves a rule that names the trust order as the only criterion. Weights halve from one vote to the
-  next in that order. The most trusted value then outweighs all others together, so a group's survivor follows the order
-  exactly, and values from the 65th on weigh less than 2**-64 of the first: they cannot move a vote, which is why at most
-  `MAX_ALIGNED` values of a group enter an alignment. That cut loses nothing, and it bounds what a group of a million versions
-  sends to one task.
+Two rules:
+
+* `surviving_fields` serves a rule that names the trust order (author, time, probability, identifier) as the only criterion: the
+  first usable value in that order survives. Votes have no say in it, so none are held.
+* `consensus_fields` is a token-level consensus. The values of a group are aligned progressively, most trusted first; every
+  alignment column takes a weighted vote over its tokens (or the gap), and the existing value closest to the consensus is emitted. A vote
+  counts its probability, twice if it is by the post's author, and equal values add up. Agreement decides; the trust order only breaks ties.
 """
 
 from __future__ import annotations
@@ -27,8 +22,6 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from forumlens.session import cut_lineage
 
-#: Votes per group that enter an alignment; the rest weigh less than a double can tell (see above).
-MAX_ALIGNED = 64
 #: Cells of an alignment's table held at once; different values of a group whose consensus is found in one step.
 CELLS, CHUNK = 4_000_000, 256
 #: What an author's vote counts, against 1, and the probability of a vote whose own is unusable.
@@ -141,11 +134,6 @@ def closest_to_consensus(values: list[str], weights: list[float] | None = None)
     return best
 
 
-@F.pandas_udf(IntegerType())
-def _survivor(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: 0 if v is None or len(v) < 2 else closest_to_consensus(list(v)))
-
-
 @F.pandas_udf(ArrayType(StringType()))
 def _agreed(values: pd.Series, weights: pd.Series) -> pd.Series:
     return pd.Series([consensus([list(t) for t in v], list(w)) for v, w in zip(values, weights)], dtype=object)
@@ -216,21 +204,13 @@ def surviving_fields(detections: DataFrame, posts: DataFrame, with_value: bool =
     Trust order: rows by the post's author, then latest `created_timestamp`, highest `probability` (nulls last),
     smallest `detection_id`. A field with no usable value gives no row; a null id or thing type gives no thing.
 
-    Each row votes once per field. The window that keeps the `MAX_ALIGNED` most trusted votes is limited on the map side
-    before its shuffle, so a thing with a third of all rows sends at most that many rows per map task; its number of
-    rows is a partial aggregate. Only groups whose values differ reach Python.
+    The window that keeps the most trusted row is limited on the map side before its shuffle, so a thing with a third of
+    all rows sends one row per field and map task; its number of rows is a partial aggregate.
     """
     long, counted = _votes(detections, posts)
     by_trust = Window.partitionBy("id", "field_name").orderBy(F.desc("trust"))
-    kept = long.withColumn("nth", F.row_number().over(by_trust)).where(F.col("nth") <= MAX_ALIGNED)
-    groups = kept.groupBy("id", "field_name").agg(
-        F.array_sort(F.collect_list(F.struct("nth", (-F.col("trust.order")).alias("detection_id"), "value"))).alias("c")
-    )
-    differ = F.size(F.array_distinct("c.value")) > 1
-    chosen = groups.withColumn("k", F.when(differ, _survivor(F.when(differ, F.col("c.value")))).otherwise(0))
-    winners = chosen.select(
-        "id", "field_name", F.expr("c[k].detection_id").alias("detection_id"), *([F.expr("c[k].value").alias("value")] if with_value else [])
-    )
+    first = long.withColumn("nth", F.row_number().over(by_trust)).where("nth = 1")
+    winners = first.select("id", "field_name", (-F.col("trust.order")).alias("detection_id"), *(["value"] if with_value else []))
     return winners.join(counted, "id", "left_semi")
 
 

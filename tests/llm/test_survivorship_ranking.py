@@ -54,6 +54,22 @@ def test_a_thing_with_many_versions(spark):
     assert run(spark, rows)[("t3_hot", "text")] == 19
 
 
+def test_no_stage_stands_between_the_trust_order_and_the_survivor(spark, sf):
+    detections, posts = table(spark, sf, "comment_language_v2"), table(spark, sf, "post_language_detection_cld3_clean")
+    for with_value in (False, True):
+        plan = survivorship.surviving_fields(detections, posts, with_value)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Python" not in plan and "collect_list" not in plan and "row_number()" in plan
+    rng = __import__("random").Random(5)
+    rows = [detection(k, f"t3_{rng.randrange(9)}", rng.choice("uvw"), rng.choice([None, 1, 2, 3]), rng.choice([None, 0.2, 0.9]), rng.choice([None, "de", "en"]), text=rng.choice([" ", "a b", "a c b", "c"])) for k in range(700)]
+    order = sorted(rows, key=lambda r: (r[4] != "u", r[1] is None, -(r[1].timestamp() if r[1] else 0), r[9] is None, -(r[9] or 0), r[0]))
+    want: dict = {}
+    for r in order:
+        for field, value, ok in (("text", r[10], True), ("language", r[8], r[9] is not None), ("app_name", r[6], True), ("geolocation_country_code", r[7], True)):
+            if ok and value and value.strip():
+                want.setdefault((r[3], field), r[0])
+    assert run(spark, rows, [(str(k), "u", "x") for k in range(9)]) == want
+
+
 def test_empty_and_null_ids(spark):
     assert run(spark, []) == {}
     assert run(spark, [detection(1, None, None, 1, 0.5), detection(2, None, None, 1, 0.5)]) == {}
